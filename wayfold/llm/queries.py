@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.llm import mixing, packing
 from wayfold.llm import percentiles as pct
 from wayfold.llm.oracle import ORACLE_SQL
+from wayfold.llm.residue import find_residue
 from wayfold.llm.terms import latest_records, mark_frequencies, tag_terms, term_frequencies
+from wayfold.llm.tokens import token_counts
 from wayfold.llm.topn import top_n
-from wayfold.session import table
+from wayfold.session import cut_lineage, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -55,6 +58,49 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), token_counts(F.col("text")).alias("size"))
+    capacities = table(spark, d, "pack_sizes").select(F.col("pack_name").alias("pack"), F.col("capacity_tokens").alias("capacity"))
+    return packing.pack(cut_lineage(sizes), capacities)  # each text is tokenized once, for all capacities
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each document, or piece of one, for each capacity."""
+    return _packed(spark, d)
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Fill of each container."""
+    return packing.containers(_packed(spark, d))
+
+
+def p6_waste(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and unused tokens in total, for each capacity."""
+    return packing.waste(_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), "source", token_counts(F.col("text")).alias("tokens")
+    )
+    targets = table(spark, d, "mix_targets").withColumnRenamed("target_share", "weight")
+    return mixing.select(cut_lineage(sizes), targets, ["source"])
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The selected documents and how often each is used."""
+    return _mixed(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixed(spark, d)[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_residue(table(spark, d, "documents")).select("doc_id")
+
+
 QUERIES = {
     "p1_category_node": _percentiles("category", "node_idx"),
     "p1_category_day": _percentiles("category", "obs_date"),
@@ -63,4 +109,10 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p5_found": p5_found,
+    "p6_packing": p6_packing,
+    "p6_containers": p6_containers,
+    "p6_waste": p6_waste,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
 }

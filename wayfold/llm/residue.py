@@ -1,0 +1,187 @@
+"""Template residue, filler and page messages in place of real text.
+
+A text is judged sentence by sentence (mark-up tags and line ends part sentences too):
+
+* slot: an unfilled or wrongly filled template slot, by a grammar for each delimiter;
+* filler: dummy words, repeated key mashing, or a sentence that only announces text;
+* message: an error page, a stack trace, or a notice that scripts are required.
+
+What merely speaks of such things is discounted: code in backticks is cut out, slots within quotation
+marks or in a sentence that explains or reports templates and forms don't count, messages must make up a
+sentence from its start, and filler words must be dense. All of it runs as expressions within Spark, on
+whole texts; repetitions of groups in the patterns are bounded, so very long texts are safe.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# --- fixed values: names of slots, and words of the instructions that stand in them ---
+_SLOT_WORDS = (
+    "name|names|first_?name|last_?name|nickname|customer|user|client|product|brand|item|title|store|shop|city|date|order|"
+    "variant|pros|cons|opinion|review|text|experience|price|colou?r|size|model|company|email|address|number|"
+    "vorname|nachname|kunde|produkt|produktname|marke|ort|stadt|datum|bestellung|bestellnr|vorteile|nachteile|bewertung|"
+    "erfahrung|preis|farbe|gr[oö]sse|"
+    "nom|pr[eé]nom|produit|marque|ville|commande|avantages|avis|exp[eé]rience|prix|magasin|"
+    "nombre|cliente|producto|marca|ciudad|fecha|pedido|ventajas|opini[oó]n|rese[nñ]a|experiencia|precio|tienda"
+)
+_INSTRUCTIONS = (
+    "insert|add|describe|enter|your|here|hier|ihr|ihre|ihren|einsetzen|einf[uü]gen|erg[aä]nzen|beschreiben|"
+    "ins[eé]rer|ajouter|d[eé]crire|d[eé]crivez|votre|ici|insertar|a[nñ]adir|agregar|describir|describa|su|aqu[ií]"
+)
+_WORD = r"[\p{L}\p{N}_.\-]"
+# one word that is a slot name, or holds one as a part (product_name, user.nickname, itemTitle)
+_NAMED = rf"(?:{_WORD}{{0,20}}[_.])?(?:{_SLOT_WORDS})(?:[_.]?{_WORD}{{0,20}})?|item[_.]?title|order_id"
+_PHRASE = rf"(?:(?:{_INSTRUCTIONS}|{_SLOT_WORDS}|le|la|les|el|los|das|den|die|der|the|de|del|du|des|of|l'){{1}}\s+){{0,5}}(?:{_NAMED}|{_INSTRUCTIONS})"
+
+#: A grammar for each kind of delimiter.
+SLOT_GRAMMARS = {
+    "double braces, perhaps with a filter or cut off": r"\{\{\s*[>#/&!^{]?\s*[\p{L}_]",
+    "statement tags": r"\{%[^%\n]{0,80}%\}",
+    "dollar braces": r"\$\{[^}\n]{1,60}\}",
+    "hash braces": r"#\{[^}\n]{1,60}\}",
+    "single braces around a name or number": r"(?<![{$#\p{L}\p{N}])\{\s?[$!]?(?:\p{N}{1,2}|\p{L}[\p{L}\p{N}_.]{0,40})[!\\]?\s?\}(?!\})",
+    "output tags": r"<%=?[^%\n]{0,80}%>|<\?=?[^?\n]{0,80}\?>",
+    "model fields": r"(?<![\p{L}\p{N}])@[Mm]odel\.\p{L}",
+    "bars": r"(?<![\p{L}\p{N}|])\|\p{Lu}[\p{Lu}_]{2,40}\|(?![\p{L}\p{N}|])",
+    "bracket percent": r"\[%[^%\n]{0,80}%\]",
+    "double brackets": r"\[\[[^\]\n]{1,60}\]\]",
+    "percent signs": r"%%?\p{L}[\p{L}_]{2,40}%%?(?![\p{L}\p{N}])",
+    "format specifiers": r"%\(\p{L}[\p{L}\p{N}_]{0,40}\)[sd]|%\p{N}\$[sd]|(?<![\p{L}\p{N}])%[sd](?![\p{L}\p{N}])",
+    "at signs": r"@@\p{L}[\p{L}\p{N}_.]{0,40}@@|(?<![\p{L}\p{N}])@\p{L}[\p{L}\p{N}_.]{0,40}@(?![\p{L}\p{N}])",
+    "hash signs": r"##\p{L}[\p{L}\p{N}_.]{0,40}##",
+    "underscores": r"(?<![\p{L}\p{N}_])__\p{L}(?:[\p{L}\p{N}.]|_(?!_)){0,40}__(?![\p{L}\p{N}])",
+    "shell names": r"\$[\p{Lu}_]{3,40}(?![\p{L}\p{N}])|\$\p{L}{1,20}_[\p{L}_]{1,20}",
+    "percent-encoded braces": r"(?iu)%7b%7b.{0,60}?%7d%7d",
+    "brackets around a name": rf"(?iu)(?<![\p{{L}}\p{{N}}\[])\[\s?(?:{_PHRASE})\s?\](?!\])",
+    "angle brackets around a name": rf"(?iu)<\s?(?:{_PHRASE})\s?/?>",
+    "parentheses around an instruction": rf"(?iu)\(\s?(?:(?:{_INSTRUCTIONS}|product|produkt)\s+[\p{{L}}\s']{{2,40}}|[\p{{L}}]{{2,20}}\s(?:{_INSTRUCTIONS}|name)|produktname)\s?\)",
+    "guillemets around a name": rf"(?iu)(?<![\p{{L}}\p{{N}}])«(?:{_NAMED})»",
+    "values of nothing": r"\[object \p{L}+\]",
+    "crossed out": r"(?<![\p{L}\p{N}])X{4,12}(?![\p{L}\p{N}])",
+    "blanks to fill in": r"(?<![\p{L}\p{N}_])_{4,40}(?![\p{L}\p{N}_])",
+}
+#: A slot name in capitals and parentheses, in a sentence that is not in capitals itself.
+_CAPITALS = rf"(?-iu:\((?:{_SLOT_WORDS.replace('tienda|', '').replace('|tienda', '').upper()})\))"
+_CAPITALS_SLOT = rf"^\W*{_CAPITALS}\W*$|\p{{Ll}}{{3}}.*{_CAPITALS}|{_CAPITALS}.*\p{{Ll}}{{3}}"
+#: Reports of forms, templates and courses: a slot in such a sentence is spoken of.
+_SPOKEN_OF = (
+    r"(?iu)\b(?:templates?|tutorials?|syntax|placeholders?|variables?|loops?|explains?|explained|documentation|"
+    r"asked (?:me )?for|form (?:asked|wanted|said)|vorlagen?|platzhalter|erkl[aä]rt|formular|mod[eè]les? de texte|"
+    r"formulaire|explique|plantillas?|formulario|explica)\b"
+)
+_QUOTED = r"[\"“”„«»]\s?[{\[<%$#@_][^\"“”„«»\n]{1,60}[\"“”„«»]"
+
+#: The word of a script language for an unset value, unless used as an ordinary adjective.
+_UNDEFINED = r"(?iu)(?<![\p{L}\p{N}])undefined(?![\p{L}\p{N}])"
+_UNDEFINED_ADJECTIVE = (
+    r"(?iu)\b(?:is|are|was|were|be|been|being|stays?|stayed|remains?|remained|left|leaves?)\s+undefined"
+    r"(?=\s*(?:[,.;:!?]|$|(?:and|but|or|in|by|for|because|until)\b))"
+)
+
+# --- fixed values: words of filler, which counts where several stand in a row ---
+_DUMMY_LATIN = (
+    "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|"
+    "enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|"
+    "reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|"
+    "culpa|qui|officia|deserunt|mollit|anim|id|est|laborum"
+)
+_LAYOUT_WORDS = "title|subtitle|heading|headline|paragraph|body|caption|copy|dummy|word|text|image|button|label"
+FILLER_PATTERNS = {
+    "dummy Latin": rf"(?iu)\b(?:{_DUMMY_LATIN})(?:[,.;]?\s+(?:{_DUMMY_LATIN})\b){{4,5}}",
+    "layout words": rf"(?iu)\b(?:{_LAYOUT_WORDS})(?:[,.;/|]?\s+(?:{_LAYOUT_WORDS})\b){{3,4}}",
+    "one unit again and again": r"(?iu)(?<![\p{L}\p{N}])(\p{L}{2,6}?)\1{0,5}(?:\s+\1{1,6}(?![\p{L}\p{N}])){3,4}",
+}
+#: A sentence that only stands for text to come.
+_ANNOUNCEMENTS = (
+    r"(?iu)^\W{0,3}(?:"
+    r"placeholder(?: (?:for|text)\b[\w ]{0,40})?|(?:sample|dummy|filler|example|placeholder) (?:text|review|copy|content)(?: here| goes here)?|"
+    r"(?:your |the |insert )?(?:review|text|content|comment|body)(?: text| copy)? (?:goes |comes )?here|(?:body )?copy to be supplied|(?:text|copy|content|review) to (?:follow|come)|type (?:your|the) [\w ]{0,30}here|"
+    r"(?:this is a )?test review(?:[, -]{1,3}(?:please )?ignore)?|"
+    r"replace this (?:paragraph|text|line|sentence)\b.{0,60}|write at least \w+ (?:characters|words)|"
+    r"(?:blindtext|platzhalter|beispieltext|f[uü]lltext|mustertext)(?: f[uü]r [\p{L} ]{0,40})?|(?:hier )?(?:text|bewertung|inhalt) folgt(?: in k[uü]rze)?|"
+    r"testbewertung\b.{0,40}|hier (?:steht|kommt|folgt) (?:ihre?|der|die|das|dein) ?[\p{L} ]{0,40}|(?:text|bewertung) (?:bitte )?hier (?:eingeben|einf[uü]gen|einsetzen)|"
+    r"exemple de texte\b[\p{L}' ]{0,40}|votre (?:avis|texte|commentaire) ici|texte (?:de remplissage|d'exemple|factice|[aà] venir)(?: pour [\p{L}' ]{0,40})?|avis de test\b.{0,40}|(?:saisissez|ins[eé]rez|[eé]crivez) [\p{L}' ]{0,40}|"
+    r"texto (?:de relleno|de ejemplo|de prueba|provisional)(?: para [\p{L} ]{0,40})?|(?:rese[nñ]a|opini[oó]n) de prueba\b.{0,40}|(?:escriba|introduzca|inserte) [\p{L} ]{0,40}aqu[ií]|"
+    r"(?:escriba|introduzca|inserte) aqu[ií] [\p{L} ]{0,40}|su (?:opini[oó]n|texto|rese[nñ]a|comentario) (?:va |ir[aá] )?aqu[ií]"
+    r")\W{0,6}$"
+)
+
+#: Messages of pages; they count at the start of a sentence.
+MESSAGE_PATTERNS = {
+    "status": r"(?iu)^\W{0,3}(?:(?:http|error|fehler|erreur)\s?:?\s?)?(?:400|401|403|404|408|410|429|500|502|503|504)\b\s?[:\-–]?\s?(?:not found|forbidden|bad (?:gateway|request)|"
+    r"service (?:temporarily )?unavailable|internal server error|gateway time-?out|request time-?out|unauthori[sz]ed|too many requests|gone|"
+    r"seite nicht gefunden|interner|p[aá]gina no encontrada|page (?:introuvable|non trouv[eé]e)|acc[eè]s|zugriff)",
+    "error of a server": r"(?iu)^\W{0,3}(?:error|fehler|erreur)\s?\p{N}{3}\s?[:\-–]|^\W{0,3}(?:internal server error|interner serverfehler|erreur interne|error interno)",
+    "sentence of an error page": r"(?iu)^\W{0,3}(?:oops\W{0,4}(?:something|$)|something went wrong\W{0,3}$|we hit a snag|access denied\W{0,3}$|request timed out|your session has expired|"
+    r"this (?:page|review|content) (?:could|can) ?not be (?:found|loaded|displayed)|the (?:page|resource) you (?:asked for|requested)|the upstream server|page not found|"
+    r"if the problem persists|our team has been (?:told|notified)|(?:please )?try again later\W{0,3}$|check the address and reload|go back to the home ?page|sign in again|"
+    r"etwas ist schiefgelaufen|da ist etwas schiefgelaufen|ihre sitzung ist abgelaufen|die angeforderte seite|zugriff verweigert|dienst vor[uü]bergehend|seite nicht gefunden|"
+    r"bitte versuchen sie es|zur[uü]ck zur startseite|bitte melden sie sich|"
+    r"une erreur est survenue|votre session a expir|page introuvable|la page demand|acc[eè]s refus|service temporairement|merci de (?:r[eé]essayer|vous reconnecter)|"
+    r"veuillez (?:r[eé]essayer|vous reconnecter)|retour [aà] l'accueil|"
+    r"algo (?:ha )?sali[oó] mal|ha ocurrido un error|su sesi[oó]n ha caducado|p[aá]gina no encontrada|la p[aá]gina solicitada|acceso denegado|servicio (?:temporalmente )?no disponible|"
+    r"int[eé]ntelo (?:de nuevo|m[aá]s tarde)|vuelva a (?:iniciar|intentar)|volver al inicio)",
+    "scripts required": r"(?iu)^\W{0,3}(?:java ?script (?:is|must|seems|needs|appears|has) \b.{0,20}(?:required|needed|disabled|enabled|off)|(?:please )?(?:enable|activate|turn on) (?:java ?script|scripts)|"
+    r"you (?:need|have) to (?:turn on|enable|activate) (?:java ?script|scripts)|(?:this|our) (?:site|page|website) (?:needs|requires) (?:java ?script|scripts)|scripts are (?:blocked|disabled)|"
+    r"your browser (?:does not|doesn't) support|your browser (?:blocks|has) \b.{0,20}scripts?|"
+    r"bitte (?:aktivieren|schalten) sie java|java ?script (?:ist|muss) \b.{0,30}(?:erforderlich|aktiviert|deaktiviert|n[oö]tig)|diese (?:seite|website) (?:ben[oö]tigt|braucht) (?:java|skript)|skripte (?:sind|werden)|ihr browser|"
+    r"veuillez activer java|java ?script (?:est|doit|semble) \b.{0,30}(?:requis|activ|n[eé]cessaire)|(?:cette page|ce site) a besoin de (?:java|scripts)|les scripts sont bloqu|votre navigateur|"
+    r"(?:por favor,? )?active java ?script|se requiere java|java ?script (?:es|est[aá]|parece) \b.{0,30}(?:necesario|obligatorio|desactivado|requerido)|esta (?:p[aá]gina|web) (?:necesita|requiere) (?:java|scripts)|"
+    r"su navegador|los scripts est[aá]n|el navegador bloquea|debe activar java)",
+    "trace of a program": r"(?iu)^\W{0,3}(?:traceback \(most recent call|fatal error:|warning: undefined|sqlstate\[|upstream connect error|connection (?:refused|reset|timed out)|"
+    r"(?:[a-z]+\.){2,6}[a-z]*(?:exception|error)\b|(?:key|type|value|attribute|name|index)error: |err_[a-z_]{4,40}|uncaught (?:type|reference)error)|\bERR_[A-Z_]{4,40}",
+}
+_PAGE_MARKUP = r"(?iu)<html>\s?<head>\s?<title>|<noscript>|^\s*\{\s?\"(?:status|code|error)\"\s?:"
+
+_CODE = r"```[^`]{0,20000}```|`[^`\n]{1,200}`"
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#123;": "{", "&#125;": "}", "&#91;": "[", "&#93;": "]", "&#37;": "%",
+             "&#36;": "$", "&#60;": "<", "&#62;": ">", "&lbrace;": "{", "&rbrace;": "}", "&amp;": "&"}
+#: A unit and its repetitions, which make up a whole sentence.
+_REPEATED = r"^\W{0,3}(.{4,80}?)(?:\W{1,6}\1){1,100}(?:\W.{0,80})?$"
+_PARTS = r"(?<=[.!?…])\s+|[\r\n]+|\s/\s|</?(?:html|head|title|body|h\d|hr|p|br|b|i|em|strong|div|span|li|ul|noscript)\s?/?>"
+
+
+#: What any slot must contain; spares most sentences the grammars.
+_SIGN = r"[{%$#@<\[_(«|]|XXXX|(?i:undefined)"
+
+
+def _any(patterns: list[str]) -> str:
+    # a flag at the start of an alternative holds to the end of its group
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+def residue_kinds(text: Column) -> Column:
+    """An array with 'slot', 'filler', 'message' as far as ``text`` holds them; empty for null or blank."""
+    whole = F.coalesce(text, F.lit(""))
+    for entity, sign in _ENTITIES.items():
+        whole = F.replace(whole, F.lit(entity), F.lit(sign))
+    sentences = F.filter(F.split(F.regexp_replace(whole, _CODE, " "), _PARTS), lambda s: F.length(s) > 0)
+    slots, filler = _any(list(SLOT_GRAMMARS.values())), _any(list(FILLER_PATTERNS.values()))
+    messages = _any(list(MESSAGE_PATTERNS.values()))
+
+    def holds_slot(s: Column) -> Column:
+        bare = F.regexp_replace(s, _QUOTED, " ")
+        unset = F.regexp_replace(s, _UNDEFINED_ADJECTIVE, " ").rlike(_UNDEFINED)
+        return (bare.rlike(slots) | bare.rlike(_CAPITALS_SLOT) | unset) & ~s.rlike(_SPOKEN_OF)
+
+    signed = F.filter(sentences, lambda s: s.rlike(_SIGN))
+    is_slot = F.exists(signed, holds_slot)
+    is_filler = F.regexp_replace(whole, r"\s*[/\n]\s*", " ").rlike(filler) | F.exists(sentences, lambda s: F.regexp_replace(s, _REPEATED, "$1").rlike(_ANNOUNCEMENTS))
+    is_message = whole.rlike(_PAGE_MARKUP) | F.exists(sentences, lambda s: s.rlike(messages))
+    return F.array_compact(
+        F.array(F.when(is_slot, F.lit("slot")), F.when(is_filler, F.lit("filler")), F.when(is_message, F.lit("message")))
+    )
+
+
+def find_residue(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, kinds)`` of the documents whose text holds residue; one row per input row, no shuffle.
+
+    Null, empty and blank texts hold none. Repeated rows are judged alike. Only the two named columns are
+    read, so any others may be there.
+    """
+    return (
+        documents.select(F.col(f"`{id_col}`").alias(id_col), residue_kinds(F.col(f"`{text_col}`")).alias("kinds"))
+        .where(F.size("kinds") > 0)
+    )
