@@ -88,14 +88,15 @@ _DUMMY_LATIN = (
     "culpa|qui|officia|deserunt|mollit|anim|id|est|laborum"
 )
 _LAYOUT_WORDS = "title|subtitle|heading|headline|paragraph|body|caption|copy|dummy|word|text|image|button|label"
+# (matched against lower case)
 FILLER_PATTERNS = {
-    "dummy Latin": rf"(?iu)\b(?:{_DUMMY_LATIN})(?:[,.;]?\s+(?:{_DUMMY_LATIN})\b){{4,5}}",
-    "layout words": rf"(?iu)\b(?:{_LAYOUT_WORDS})(?:[,.;/|]?\s+(?:{_LAYOUT_WORDS})\b){{3,4}}",
-    "one unit again and again": r"(?iu)(?<![\p{L}\p{N}])(\p{L}{2,6}?)\1{0,5}(?:\s+\1{1,6}(?![\p{L}\p{N}])){3,4}",
+    "dummy Latin": rf"\b(?:{_DUMMY_LATIN})(?:[,.;]?\s+(?:{_DUMMY_LATIN})\b){{4,5}}",
+    "layout words": rf"\b(?:{_LAYOUT_WORDS})(?:[,.;/|]?\s+(?:{_LAYOUT_WORDS})\b){{3,4}}",
+    "one unit again and again": r"(?<![\p{L}\p{N}])(\p{L}{2,6}?)\1{0,5}(?:\s+\1{1,6}(?![\p{L}\p{N}])){3,4}",
 }
 #: A sentence that only stands for text to come.
 _ANNOUNCEMENTS = (
-    r"(?iu)^\W{0,3}(?:"
+    r"^\W{0,3}(?:"
     r"placeholder(?: (?:for|text)\b[\w ]{0,40})?|(?:sample|dummy|filler|example|placeholder) (?:text|review|copy|content)(?: here| goes here)?|"
     r"(?:your |the |insert )?(?:review|text|content|comment|body)(?: text| copy)? (?:goes |comes )?here|(?:body )?copy to be supplied|(?:text|copy|content|review) to (?:follow|come)|type (?:your|the) [\w ]{0,30}here|"
     r"(?:this is a )?test review(?:[, -]{1,3}(?:please )?ignore)?|"
@@ -108,13 +109,13 @@ _ANNOUNCEMENTS = (
     r")\W{0,6}$"
 )
 
-#: Messages of pages; they count at the start of a sentence.
+#: Messages of pages; they count at the start of a sentence. (Matched against lower case.)
 MESSAGE_PATTERNS = {
-    "status": r"(?iu)^\W{0,3}(?:(?:http|error|fehler|erreur)\s?:?\s?)?(?:400|401|403|404|408|410|429|500|502|503|504)\b\s?[:\-–]?\s?(?:not found|forbidden|bad (?:gateway|request)|"
+    "status": r"^\W{0,3}(?:(?:http|error|fehler|erreur)\s?:?\s?)?(?:400|401|403|404|408|410|429|500|502|503|504)\b\s?[:\-–]?\s?(?:not found|forbidden|bad (?:gateway|request)|"
     r"service (?:temporarily )?unavailable|internal server error|gateway time-?out|request time-?out|unauthori[sz]ed|too many requests|gone|"
     r"seite nicht gefunden|interner|p[aá]gina no encontrada|page (?:introuvable|non trouv[eé]e)|acc[eè]s|zugriff)",
-    "error of a server": r"(?iu)^\W{0,3}(?:error|fehler|erreur)\s?\p{N}{3}\s?[:\-–]|^\W{0,3}(?:internal server error|interner serverfehler|erreur interne|error interno)",
-    "sentence of an error page": r"(?iu)^\W{0,3}(?:oops\W{0,4}(?:something|$)|something went wrong\W{0,3}$|we hit a snag|access denied\W{0,3}$|request timed out|your session has expired|"
+    "error of a server": r"^\W{0,3}(?:error|fehler|erreur)\s?\p{N}{3}\s?[:\-–]|^\W{0,3}(?:internal server error|interner serverfehler|erreur interne|error interno)",
+    "sentence of an error page": r"^\W{0,3}(?:oops\W{0,4}(?:something|$)|something went wrong\W{0,3}$|we hit a snag|access denied\W{0,3}$|request timed out|your session has expired|"
     r"this (?:page|review|content) (?:could|can) ?not be (?:found|loaded|displayed)|the (?:page|resource) you (?:asked for|requested)|the upstream server|page not found|"
     r"if the problem persists|our team has been (?:told|notified)|(?:please )?try again later\W{0,3}$|check the address and reload|go back to the home ?page|sign in again|"
     r"etwas ist schiefgelaufen|da ist etwas schiefgelaufen|ihre sitzung ist abgelaufen|die angeforderte seite|zugriff verweigert|dienst vor[uü]bergehend|seite nicht gefunden|"
@@ -123,15 +124,15 @@ MESSAGE_PATTERNS = {
     r"veuillez (?:r[eé]essayer|vous reconnecter)|retour [aà] l'accueil|"
     r"algo (?:ha )?sali[oó] mal|ha ocurrido un error|su sesi[oó]n ha caducado|p[aá]gina no encontrada|la p[aá]gina solicitada|acceso denegado|servicio (?:temporalmente )?no disponible|"
     r"int[eé]ntelo (?:de nuevo|m[aá]s tarde)|vuelva a (?:iniciar|intentar)|volver al inicio)",
-    "scripts required": r"(?iu)^\W{0,3}(?:java ?script (?:is|must|seems|needs|appears|has) \b.{0,20}(?:required|needed|disabled|enabled|off)|(?:please )?(?:enable|activate|turn on) (?:java ?script|scripts)|"
+    "scripts required": r"^\W{0,3}(?:java ?script (?:is|must|seems|needs|appears|has) \b.{0,20}(?:required|needed|disabled|enabled|off)|(?:please )?(?:enable|activate|turn on) (?:java ?script|scripts)|"
     r"you (?:need|have) to (?:turn on|enable|activate) (?:java ?script|scripts)|(?:this|our) (?:site|page|website) (?:needs|requires) (?:java ?script|scripts)|scripts are (?:blocked|disabled)|"
     r"your browser (?:does not|doesn't) support|your browser (?:blocks|has) \b.{0,20}scripts?|"
     r"bitte (?:aktivieren|schalten) sie java|java ?script (?:ist|muss) \b.{0,30}(?:erforderlich|aktiviert|deaktiviert|n[oö]tig)|diese (?:seite|website) (?:ben[oö]tigt|braucht) (?:java|skript)|skripte (?:sind|werden)|ihr browser|"
     r"veuillez activer java|java ?script (?:est|doit|semble) \b.{0,30}(?:requis|activ|n[eé]cessaire)|(?:cette page|ce site) a besoin de (?:java|scripts)|les scripts sont bloqu|votre navigateur|"
     r"(?:por favor,? )?active java ?script|se requiere java|java ?script (?:es|est[aá]|parece) \b.{0,30}(?:necesario|obligatorio|desactivado|requerido)|esta (?:p[aá]gina|web) (?:necesita|requiere) (?:java|scripts)|"
     r"su navegador|los scripts est[aá]n|el navegador bloquea|debe activar java)",
-    "trace of a program": r"(?iu)^\W{0,3}(?:traceback \(most recent call|fatal error:|warning: undefined|sqlstate\[|upstream connect error|connection (?:refused|reset|timed out)|"
-    r"(?:[a-z]+\.){2,6}[a-z]*(?:exception|error)\b|(?:key|type|value|attribute|name|index)error: |err_[a-z_]{4,40}|uncaught (?:type|reference)error)|\bERR_[A-Z_]{4,40}",
+    "trace of a program": r"^\W{0,3}(?:traceback \(most recent call|fatal error:|warning: undefined|sqlstate\[|upstream connect error|connection (?:refused|reset|timed out)|"
+    r"(?:[a-z]+\.){2,6}[a-z]*(?:exception|error)\b|(?:key|type|value|attribute|name|index)error: |err_[a-z_]{4,40}|uncaught (?:type|reference)error)|\berr_[a-z_]{4,40}",
 }
 _PAGE_MARKUP = r"(?iu)<html>\s?<head>\s?<title>|<noscript>|^\s*\{\s?\"(?:status|code|error)\"\s?:"
 
@@ -147,6 +148,9 @@ _PARTS = r"(?<=[.!?…])\s+|[\r\n]+|\s/\s|</?(?:html|head|title|body|h\d|hr|p|br
 _SIGN = r"[{%$#@<\[_(«|]|XXXX|(?i:undefined)"
 
 
+_SLOT, _FILLER, _MESSAGE = 1, 2, 4
+
+
 def _any(patterns: list[str]) -> str:
     # a flag at the start of an alternative holds to the end of its group
     return "|".join(f"(?:{p})" for p in patterns)
@@ -161,17 +165,26 @@ def residue_kinds(text: Column) -> Column:
     slots, filler = _any(list(SLOT_GRAMMARS.values())), _any(list(FILLER_PATTERNS.values()))
     messages = _any(list(MESSAGE_PATTERNS.values()))
 
-    def holds_slot(s: Column) -> Column:
+    def slot(s: Column) -> Column:
         bare = F.regexp_replace(s, _QUOTED, " ")
         unset = F.regexp_replace(s, _UNDEFINED_ADJECTIVE, " ").rlike(_UNDEFINED)
-        return (bare.rlike(slots) | bare.rlike(_CAPITALS_SLOT) | unset) & ~s.rlike(_SPOKEN_OF)
-
-    signed = F.filter(sentences, lambda s: s.rlike(_SIGN))
-    is_slot = F.exists(signed, holds_slot)
-    is_filler = F.regexp_replace(whole, r"\s*[/\n]\s*", " ").rlike(filler) | F.exists(sentences, lambda s: F.regexp_replace(s, _REPEATED, "$1").rlike(_ANNOUNCEMENTS))
-    is_message = whole.rlike(_PAGE_MARKUP) | F.exists(sentences, lambda s: s.rlike(messages))
-    return F.array_compact(
-        F.array(F.when(is_slot, F.lit("slot")), F.when(is_filler, F.lit("filler")), F.when(is_message, F.lit("message")))
+        return s.rlike(_SIGN) & (bare.rlike(slots) | bare.rlike(_CAPITALS_SLOT) | unset) & ~s.rlike(_SPOKEN_OF)
+
+    def announcement(s: Column) -> Column:
+        return F.regexp_replace(F.lower(s), _REPEATED, "$1").rlike(_ANNOUNCEMENTS)
+
+    def add(found: Column, s: Column) -> Column:
+        for bit, holds in ((_SLOT, slot), (_FILLER, announcement), (_MESSAGE, lambda s: F.lower(s).rlike(messages))):
+            found = found.bitwiseOR(F.when(holds(s), bit).otherwise(0))
+        return found
+
+    of_whole = F.when(F.regexp_replace(F.lower(whole), r"\s*[/\n]\s*", " ").rlike(filler), _FILLER).otherwise(0)
+    of_whole = of_whole.bitwiseOR(F.when(whole.rlike(_PAGE_MARKUP), _MESSAGE).otherwise(0))
+    named = ((_SLOT, "slot"), (_FILLER, "filler"), (_MESSAGE, "message"))
+    # one pass over the sentences, so that the text is split once
+    return F.aggregate(
+        sentences, of_whole, add,
+        lambda found: F.array_compact(F.array(*[F.when(found.bitwiseAND(bit) != 0, F.lit(name)) for bit, name in named])),
     )
 
 
