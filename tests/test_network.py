@@ -8,13 +8,16 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from wayfold.accessibility import Accessibility, reserve_num_graphs
 from wayfold.operators.aggregate import aggregate, low_connectivity_nodes, variable
 from wayfold.operators.nearest import nearest_pois, nearest_wide
 from wayfold.operators.network import Network
 from wayfold.operators.paths import UNREACHABLE, shortest_path_lengths, shortest_paths
 from wayfold.operators.reach import Graph, ReachCache, nodes_in_range, reach
 from wayfold.operators.snap import nearest_node
-from wayfold.operators.tables import adjacency_counts, adjacency_matrix, binned, plot_data, reindex
+from wayfold.operators.tables import (
+    adjacency_counts, adjacency_matrix, binned, node_index, plot_data, reindex, resolve_ids,
+)
 
 NODES = [(k, float(k % 4 + 1), float(k // 4 + 1)) for k in range(12)]
 EDGES = list(
@@ -252,3 +255,49 @@ def test_search_equals_dijkstra(raw, radius):
     for k, n, c in zip(which, node, cost):
         found.setdefault(graph.ids[k], {})[graph.ids[n]] = c
     assert found == {s: dijkstra(arcs, s, radius) for s in graph.ids}
+
+
+def test_one_object_for_all(spark, grid, tmp_path):
+    whole = Accessibility(grid)
+    assert whole.bbox == [1.0, 1.0, 4.0, 3.0] and whole.node_ids.count() == 12
+    rows = spark.createDataFrame([(0, 10.0), (0, 20.0), (2, 30.0)], "n bigint, v double")
+    whole.set(rows, "n", "v", "income")
+    whole.set(rows, "n")
+    assert whole.variable_names == {"income", "tmp"}
+    whole.precompute(3)
+    sums = {r.node_id: r.value for r in whole.aggregate(2, "sum", "flat", "distance", "income").collect()}
+    ones = {r.node_id: r.value for r in whole.aggregate(2, "count", imp_name="distance").collect()}
+    assert sums[0] == 30 and sums[1] == 30 and ones[0] == 2 and ones[11] == 0
+    sources = spark.createDataFrame([(0,)], "node_id bigint")
+    for radius in (2, 50):  # from the cache, and beyond it
+        lengths = whole.shortest_path_lengths(whole.node_ids.select(F.lit(0).cast("bigint").alias("origin"), F.col("node_id").alias("destination")), "distance")
+        within = lengths.where(F.col("length") <= radius).count()
+        assert whole.nodes_in_range(sources, radius, "distance").count() == within
+    points = spark.createDataFrame([("a", 2.1, 2.0), ("b", 2.0, 2.0), ("far", 90.0, 90.0)], "poi_id string, x double, y double")
+    whole.set_pois("food", points, maxdist=10, maxitems=2, mapping_distance=1.0)
+    wide = {r.node_id: tuple(r)[1:] for r in whole.nearest_pois(3, "food", 2, imp_name="distance", include_poi_ids=True).collect()}
+    assert wide[0] == (2.0, 2.0, "a", "b") and wide[7] == (3.0, 3.0, None, None)
+    for wrong in ({"category": "none"}, {"num_pois": 3}, {"distance": 11}):
+        with pytest.raises(ValueError):
+            whole.nearest_pois(**{"distance": 3, "category": "food", "imp_name": "distance", **wrong})
+    with pytest.raises(ValueError):
+        whole.aggregate(2, imp_name="distance", name="nothing")
+    assert whole.shortest_path(0, 5, "distance") == [0, 4, 5] and whole.shortest_path_length(0, 5, "distance") == 2.0
+    with pytest.warns(UserWarning):
+        assert whole.shortest_path_length(0, 7, "distance") == UNREACHABLE
+    pairs = spark.createDataFrame([(0, 7), (0, 5)], "origin bigint, destination bigint")
+    assert whole.unreachable(whole.shortest_path_lengths(pairs, "distance")) == 1
+    with pytest.warns(DeprecationWarning):
+        whole.init_pois(1, 2, 3)
+    with pytest.warns(DeprecationWarning):
+        reserve_num_graphs(1)
+    whole.save(str(tmp_path / "n"), sources)
+    assert Accessibility.load(spark, str(tmp_path / "n")).node_ids.count() == 11
+
+
+def test_dense_numbers(spark, grid):
+    ids = spark.createDataFrame([(k * 7,) for k in range(500)], "node_id bigint").withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0))
+    network = Network(ids.unionByName(ids.limit(9)), grid.edges_df)
+    assert {r.node_id: r.node_idx for r in node_index(network).collect()} == {k * 7: k for k in range(500)}
+    rows = spark.createDataFrame([("a", 14), ("b", None), ("c", 15)], "k string, end bigint")
+    assert {r.k: r.node_idx for r in resolve_ids(network, rows, "end").collect()} == {"a": 2, "b": None, "c": None}

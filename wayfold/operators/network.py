@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +34,9 @@ class Network:
         self.impedance_names = tuple(names)
         self.twoway = twoway
         self.drop_invalid = drop_invalid
+        #: Broadcast graphs by impedance and direction, filled by the reach operators.
+        self.graphs: dict = {}
+        self._arcs: dict[str, DataFrame] = {}
 
     @property
     def spark(self):
@@ -66,10 +68,6 @@ class Network:
             raise ValueError(f"unknown impedance {name!r}; known are {self.impedance_names}")
         return name
 
-    @cached_property
-    def _arcs(self) -> dict[str, DataFrame]:
-        return {}
-
     def arcs(self, impedance: str | None = None) -> DataFrame:
         """The directed graph ``(src, dst, cost)`` of an impedance, cost in thousandths.
 

@@ -99,14 +99,18 @@ class Graph:
 
 
 def broadcast_graph(network: Network, impedance: str | None, reverse: bool = False):
-    """The graph as a broadcast variable if its arcs are few enough, else None."""
-    arcs = network.arcs(impedance)
-    if arcs.limit(BROADCAST_ARCS + 1).count() > BROADCAST_ARCS:
-        return None
-    local = arcs.toPandas()
-    if reverse:
-        local = local.rename(columns={"src": "dst", "dst": "src"})
-    return network.spark.sparkContext.broadcast(Graph(local))
+    """The graph as a broadcast variable if its arcs are few enough, else None; kept with the network."""
+    name = network.impedance(impedance)
+    if (name, reverse) not in network.graphs:
+        arcs = network.arcs(name)
+        graph = None
+        if arcs.count() <= BROADCAST_ARCS:
+            local = arcs.toPandas()
+            if reverse:
+                local = local.rename(columns={"src": "dst", "dst": "src"})
+            graph = network.spark.sparkContext.broadcast(Graph(local))
+        network.graphs[name, reverse] = graph
+    return network.graphs[name, reverse]
 
 
 def _arrow(network: Network, sources: DataFrame, radius: int, graph) -> DataFrame:
@@ -203,11 +207,13 @@ class ReachCache:
                 old.unpersist()
             held[radius_cost(radius)] = reach(self.network, radius, name).persist()
 
-    def reach(self, radius: float, impedance: str | None = None) -> DataFrame:
+    def reach(self, radius: float, impedance: str | None = None, sources: DataFrame | None = None) -> DataFrame:
+        """Reach of every node; if it has to be computed, of ``sources.source`` only, where given."""
         name, limit = self.network.impedance(impedance), radius_cost(radius)
         fitting = [r for r in self._held.get(name, {}) if r >= limit]
         if not fitting:
-            return reach(self.network, radius, name)
+            asked = None if sources is None else sources.select(F.col("source").alias("node_id"))
+            return reach(self.network, radius, name, asked)
         return self._held[name][min(fitting)].where(F.col("cost") <= limit)
 
     def clear(self) -> None:

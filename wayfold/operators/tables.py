@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.operators.network import Network
+from wayfold.session import cut_lineage
 
 
 def reindex(values: DataFrame, keys: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
@@ -13,6 +14,30 @@ def reindex(values: DataFrame, keys: DataFrame, key: str = "key", value: str = "
     return keys.join(values.select(F.col(key), F.col(value)), key, "left")
 
 
+def node_index(network: Network) -> DataFrame:
+    """``(node_id, node_idx)``: dense numbers from 0 in the order of ids, without a single-task sort.
+
+    Ids are range-sorted; the rows of the partitions before it are a partition's offset.
+    """
+    ranged = network.node_ids.repartitionByRange(F.col("node_id")).sortWithinPartitions("node_id")
+    # the number within the partition fills the low 33 bits, the partition the rest
+    numbered = cut_lineage(ranged.select("node_id", F.monotonically_increasing_id().alias("mark"))).select(
+        "node_id", F.shiftright("mark", 33).alias("part"), F.col("mark").bitwiseAND(2**33 - 1).alias("within")
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
+    offsets = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    )
+    return numbered.join(F.broadcast(offsets), "part").select("node_id", (F.col("offset") + F.col("within")).alias("node_idx"))
+
+
+def resolve_ids(network: Network, rows: DataFrame, column: str = "node_id") -> DataFrame:
+    """``rows`` with the ``node_idx`` of their ``column``; null for unknown and null ids."""
+    index = node_index(network).withColumnRenamed("node_id", "_t_id")
+    return rows.join(index, F.col(f"`{column}`") == F.col("_t_id"), "left").drop("_t_id")
+
+
 def adjacency_counts(edges: DataFrame) -> DataFrame:
     """``(from, to, n)``: the number of edges for each pair that has any; the long form of the square matrix."""
     return edges.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n"))

@@ -17,7 +17,7 @@ from wayfold.operators.paths import shortest_path_lengths, shortest_paths
 from wayfold.operators.reach import nodes_in_range, reach
 from wayfold.operators.proximity import placed
 from wayfold.operators.snap import nearest_node
-from wayfold.operators.tables import adjacency_counts, binned, plot_data, reindex
+from wayfold.operators.tables import adjacency_counts, binned, node_index, plot_data, reindex, resolve_ids
 from wayfold.session import cut_lineage, table
 from wayfold.sources.osm import element_records
 
@@ -169,6 +169,16 @@ def remove_nodes_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _without(spark, d).nodes_df
 
 
+def q_node_index(spark: SparkSession, d: str) -> DataFrame:
+    return node_index(street_network(spark, d))
+
+
+def q_resolve_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Edge ends as dense numbers of street nodes, null where unknown."""
+    ends = table(spark, d, "edges_df").select("edge_id", F.col("from").alias("end"))
+    return resolve_ids(street_network(spark, d), ends, "end")
+
+
 def q_adjacency_counts(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "edges_df").select("from", "to")
     return adjacency_counts(pairs)
@@ -234,7 +244,7 @@ QUERIES = {
     "nearest_poi_k1": nearest_poi_k1, "nearest_poi_k3_ids": nearest_poi_k3_ids, "nearest_poi_fill": nearest_poi_fill,
     "od_length": od_length, "od_unreachable": od_unreachable, "od_path_cost": od_path_cost, "od_path": od_path,
     "remove_nodes_edges": remove_nodes_edges, "remove_nodes_nodes": remove_nodes_nodes,
-    "adjacency_counts": q_adjacency_counts, "reindex": q_reindex, "bbox": bbox, "osm_elements": osm_elements, "plot_bins": plot_bins,
+    "node_index": q_node_index, "resolve_ids": q_resolve_ids, "adjacency_counts": q_adjacency_counts, "reindex": q_reindex, "bbox": bbox, "osm_elements": osm_elements, "plot_bins": plot_bins,
     "street_reach_count": street_reach_count, "street_median_income": street_median_income, "street_nearest": street_nearest,
 }
 
@@ -335,6 +345,9 @@ FROM pairs p JOIN reach r ON r.source = origin AND r.destination = p.destination
     "remove_nodes_edges": _with(_GRID) + """SELECT f AS "from", t AS "to", round(distance, 6) AS distance FROM gedges
 WHERE f NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) AND t NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)""",
     "remove_nodes_nodes": _with(_GRID) + "SELECT * FROM gnodes WHERE node_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)",
+    "node_index": _with(_STREET) + "SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS node_idx FROM snodes",
+    "resolve_ids": _with(_STREET) + """SELECT edge_id, "from" AS "end", node_idx
+FROM edges_df LEFT JOIN (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS node_idx FROM snodes) ON node_id = "from" """,
     "adjacency_counts": 'SELECT "from", "to", count(*) AS n FROM edges_df GROUP BY ALL',
     "reindex": """SELECT o_custkey AS key, o_orderkey, c_mktsegment AS value
 FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) ON c_custkey = o_custkey""",
