@@ -82,9 +82,10 @@ AGGREGATES = {
 }
 
 
+@pytest.mark.parametrize("strategy", ["auto", "join"])
 @pytest.mark.parametrize(("kind", "decay"), AGGREGATES)
-def test_aggregates(grid, values, kind, decay):
-    found = {r.node_id: r.value for r in aggregate(grid, values, 2, kind, decay, "distance").collect()}
+def test_aggregates(grid, values, kind, decay, strategy):
+    found = {r.node_id: r.value for r in aggregate(grid, values, 2, kind, decay, "distance", strategy=strategy).collect()}
     assert [found[k] for k in range(12)] == pytest.approx(AGGREGATES[kind, decay], rel=1e-4)
 
 
@@ -102,6 +103,16 @@ def test_aggregate_without_values_and_at_radius_zero(spark, grid, values):
     assert own[0] == 60.0
 
 
+def test_aggregate_counts_nodes_without_edges(spark):
+    nodes = spark.createDataFrame([(k, 0.0, 0.0) for k in range(4)], "node_id bigint, x double, y double")
+    network = Network(nodes, spark.createDataFrame([(0, 1, 1.0)], "from bigint, to bigint, w double"))
+    values = spark.createDataFrame([(2, 5.0), (2, 7.0), (1, 3.0)], "node_id bigint, value double")
+    for strategy in ("auto", "join"):
+        for kind, expected in (("sum", [3, 3, 12, 0]), ("median", [3, 3, 7, -1]), ("std", [0, 0, 1, 0])):
+            found = {r.node_id: r.value for r in aggregate(network, values, 1, kind, "flat", strategy=strategy).collect()}
+            assert [found[k] for k in range(4)] == pytest.approx(expected)
+
+
 def test_cache_serves_smaller_radii(grid, values):
     cache = ReachCache(grid)
     cache.precompute(5, ["distance"])

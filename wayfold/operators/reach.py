@@ -25,8 +25,9 @@ from wayfold.session import cut_lineage
 
 #: Arcs up to which the graph is broadcast (16 bytes each in compressed rows).
 BROADCAST_ARCS = 4_000_000
-#: Sources that a task extends together.
+#: Sources that a task extends together, and labels (8 bytes each) it may hold for them.
 BLOCK = 512
+LABELS = 8_000_000
 _UNBOUNDED = 2**62
 
 
@@ -54,48 +55,48 @@ class Graph:
         which = np.repeat(np.arange(len(node)), count)
         return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.head[node], count)
 
+    @property
+    def block(self) -> int:
+        """Sources to search together, so that a label per source and node fits ``LABELS``."""
+        return max(1, min(BLOCK, LABELS // max(len(self.ids), 1)))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "labels"}
+
     def search(self, starts: np.ndarray, radius: int, targets: dict[int, np.ndarray] | None = None):
         """Cheapest costs from each start: arrays (position in starts, node, cost), sorted by the first two.
 
         With ``targets`` (nodes by position) a start is not searched beyond its dearest target.
         """
         n = np.int64(max(len(self.ids), 1))
-        best_key = np.arange(len(starts), dtype=np.int64) * n + starts
-        best_cost = np.zeros(len(starts), np.int64)
-        key, cost = best_key, best_cost
+        if getattr(self, "labels", None) is None or len(self.labels) < len(starts) * n:
+            self.labels = np.full(len(starts) * n, _UNBOUNDED + 1, np.int64)  # kept; only what is touched is reset
+        labels = self.labels
+        key = np.arange(len(starts), dtype=np.int64) * n + starts
+        labels[key] = 0
+        touched = [key]
         bound = np.full(len(starts), radius, np.int64)
         if targets:
-            wanted = np.concatenate([k * n + t for k, t in targets.items()]) if targets else np.empty(0, np.int64)
+            wanted = np.concatenate([k * n + t for k, t in targets.items()])
             owner = np.concatenate([np.full(len(t), k) for k, t in targets.items()])
         while len(key):
             which, arc = self.expand(key % n)
-            new_cost = cost[which] + self.cost[arc]
+            new_cost = labels[key][which] + self.cost[arc]
             owner_of = key[which] // n
-            keep = new_cost <= bound[owner_of]
-            new_key, new_cost = owner_of[keep] * n + self.dst[arc[keep]], new_cost[keep]
-            order = np.lexsort((new_cost, new_key))
-            new_key, new_cost = new_key[order], new_cost[order]
-            first = np.ones(len(new_key), bool)
-            first[1:] = new_key[1:] != new_key[:-1]
-            new_key, new_cost = new_key[first], new_cost[first]
-            at = np.minimum(np.searchsorted(best_key, new_key), len(best_key) - 1)
-            known = best_key[at] == new_key
-            better = ~known | (new_cost < best_cost[at])
-            update = known & better
-            best_cost[at[update]] = new_cost[update]
-            fresh = ~known
-            if fresh.any():
-                place = np.searchsorted(best_key, new_key[fresh])
-                best_key, best_cost = np.insert(best_key, place, new_key[fresh]), np.insert(best_cost, place, new_cost[fresh])
-            key, cost = new_key[better], new_cost[better]
+            new_key = owner_of * n + self.dst[arc]
+            keep = (new_cost <= bound[owner_of]) & (new_cost < labels[new_key])
+            new_key = new_key[keep]
+            np.minimum.at(labels, new_key, new_cost[keep])
+            key = np.unique(new_key)
+            touched.append(key)
             if targets:
-                at = np.minimum(np.searchsorted(best_key, wanted), len(best_key) - 1)
-                tentative = np.where(best_key[at] == wanted, best_cost[at], radius)
                 bound[:] = 0
-                np.maximum.at(bound, owner, tentative)
-                keep = cost <= bound[key // n]
-                key, cost = key[keep], cost[keep]
-        return best_key // n, best_key % n, best_cost
+                np.maximum.at(bound, owner, np.minimum(labels[wanted], radius))
+                key = key[labels[key] <= bound[key // n]]
+        reached = np.unique(np.concatenate(touched))
+        cost = labels[reached]
+        labels[reached] = _UNBOUNDED + 1
+        return reached // n, reached % n, cost
 
 
 def broadcast_graph(network: Network, impedance: str | None, reverse: bool = False):
@@ -121,8 +122,8 @@ def _arrow(network: Network, sources: DataFrame, radius: int, graph) -> DataFram
         g = graph.value
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False)
-            for k in range(0, len(every), BLOCK):
-                ids = every[k : k + BLOCK]
+            for k in range(0, len(every), g.block):
+                ids = every[k : k + g.block]
                 number = g.numbers(ids)
                 lone = ids[number < 0]
                 start, starts = ids[number >= 0], number[number >= 0]
@@ -142,26 +143,28 @@ def _arrow(network: Network, sources: DataFrame, radius: int, graph) -> DataFram
 
 
 def _frontier(sources: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
-    best = cut_lineage(sources.select(F.col("source"), F.col("source").alias("destination"), F.lit(0).cast("bigint").alias("cost")))
+    best = cut_lineage(
+        sources.select(F.col("source"), F.col("source").alias("destination"), F.lit(0).cast("bigint").alias("cost"), F.lit(True).alias("fresh"))
+    )
     arcs = cut_lineage(arcs)
-    improved = best
+    nothing = F.lit(None).cast("bigint")
     while True:
         found = (
-            improved.join(arcs, F.col("destination") == F.col("src"))
-            .select("source", F.col("dst").alias("destination"), (improved["cost"] + arcs["cost"]).alias("cost"))
+            best.where("fresh")
+            .join(arcs, F.col("destination") == F.col("src"))
+            .select("source", F.col("dst").alias("destination"), (best["cost"] + arcs["cost"]).alias("cost"), nothing.alias("so_far"))
             .where(F.col("cost") <= radius)
-            .groupBy("source", "destination")
-            .agg(F.min("cost").alias("cost"))
         )
-        known = best.withColumnRenamed("cost", "so_far")
-        improved = cut_lineage(
-            found.join(known, ["source", "destination"], "left")
-            .where(F.col("so_far").isNull() | (F.col("cost") < F.col("so_far")))
-            .select("source", "destination", "cost")
+        # one shuffle per round both keeps the cheapest and tells which labels are new or cheaper
+        best = cut_lineage(
+            best.select("source", "destination", "cost", F.col("cost").alias("so_far"))
+            .unionByName(found)
+            .groupBy("source", "destination")
+            .agg(F.min("cost").alias("cost"), F.min("so_far").alias("so_far"))
+            .select("source", "destination", "cost", (F.col("so_far").isNull() | (F.col("cost") < F.col("so_far"))).alias("fresh"))
         )
-        if improved.isEmpty():
-            return best
-        best = cut_lineage(best.unionByName(improved).groupBy("source", "destination").agg(F.min("cost").alias("cost")))
+        if best.where("fresh").isEmpty():
+            return best.select("source", "destination", "cost")
 
 
 def reach(
