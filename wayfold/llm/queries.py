@@ -37,8 +37,10 @@ def p1_month_from_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    records = latest_records(table(spark, d, "nodes"), "id", "loaded_at", "tags")
-    return mark_frequencies(term_frequencies(records, tag_terms(F.col("content"))), records)
+    nodes = table(spark, d, "nodes")
+    records = latest_records(nodes, "id", "loaded_at", "tags")
+    ids = nodes.select("id").where(F.col("id").isNotNull()).distinct()  # counted without their tags
+    return mark_frequencies(term_frequencies(records, tag_terms(F.col("content"))), ids)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,6 +99,19 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p7_language_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares in a tree of sources and, below each, four languages of equal weight.
+
+    What a language of a source lacks is made up by the other languages of that source first.
+    """
+    sizes = table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), "source", F.lower(F.substring_index("lang", "-", 1)).alias("lang"), token_counts(F.col("text")).alias("tokens")
+    )
+    languages = F.explode(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])).alias("lang")
+    targets = table(spark, d, "mix_targets").select("source", languages, (F.col("target_share") / 4).alias("weight"), "max_repeats")
+    return mixing.select(cut_lineage(sizes), targets, ["source", "lang"])[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(table(spark, d, "documents")).select("doc_id")
 
@@ -114,5 +129,6 @@ QUERIES = {
     "p6_waste": p6_waste,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_language_shares": p7_language_shares,
     "p8_found": p8_found,
 }
