@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.network import Network
-from wayfold.operators.reach import _UNBOUNDED, broadcast_graph, reach
+from wayfold.operators.reach import _UNBOUNDED, Graph, broadcast_graph, reach
 from wayfold.session import cut_lineage
 
 #: What a missing length is where a number is needed.
@@ -48,7 +48,7 @@ def _search(network: Network, pairs: DataFrame, impedance: str | None, graph, ro
     kind = network.id_type
 
     def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = graph.value
+        g = Graph.of(graph.value)
         incoming = None
         for block in blocks:
             block = block.sort_values("origin", kind="stable")

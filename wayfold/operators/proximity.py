@@ -60,7 +60,7 @@ def near_pairs(points: DataFrame, radius: float, axes: int = 2, rows_per_salt: i
     visitors = points.select("id", *coords)
     for c, g in zip(coords, cells):
         # a hair wider than the radius, so that rounding loses no cell; the distance itself is exact
-        reach = radius * (1 + 1e-9)
+        reach = F.abs(F.col(c)) * 1e-15 + radius * (1 + 1e-9)
         visitors = visitors.withColumn(
             g, F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side)))
         )

@@ -60,8 +60,12 @@ class Graph:
         """Sources to search together, so that a label per source and node fits ``LABELS``."""
         return max(1, min(BLOCK, LABELS // max(len(self.ids), 1)))
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "labels"}
+    @classmethod
+    def of(cls, parts: dict) -> Graph:
+        """A graph from the plain arrays that are broadcast."""
+        graph = cls.__new__(cls)
+        graph.__dict__.update(parts)
+        return graph
 
     def search(self, starts: np.ndarray, radius: int, targets: dict[int, np.ndarray] | None = None):
         """Cheapest costs from each start: arrays (position in starts, node, cost), sorted by the first two.
@@ -109,7 +113,7 @@ def broadcast_graph(network: Network, impedance: str | None, reverse: bool = Fal
             local = arcs.toPandas()
             if reverse:
                 local = local.rename(columns={"src": "dst", "dst": "src"})
-            graph = network.spark.sparkContext.broadcast(Graph(local))
+            graph = network.spark.sparkContext.broadcast(Graph(local).__dict__)
         network.graphs[name, reverse] = graph
     return network.graphs[name, reverse]
 
@@ -119,7 +123,7 @@ def _arrow(network: Network, sources: DataFrame, radius: int, graph) -> DataFram
     out = pa.int64() if kind == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = graph.value
+        g = Graph.of(graph.value)
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False)
             for k in range(0, len(every), g.block):
