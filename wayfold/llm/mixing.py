@@ -19,6 +19,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Targets at most; their list is held on the driver and broadcast.
+MAX_TARGETS = 100_000
+#: Targets up to which sums per slice are broadcast: some 400,000 rows at most.
+BROADCAST_TARGETS = 100
 #: Slices of a leaf's documents in an epoch.
 SLICES = 4096
 
@@ -86,8 +90,10 @@ def plan(
     """Per leaf of ``targets``: path, weight, max_repeats, tokens at hand, budget in tokens.
 
     ``targets``: the columns ``levels`` from the root down, ``weight``, ``max_repeats``; it must fit the
-    driver, as lists of targets do. ``total_tokens`` defaults to the tokens of the documents in any target.
+    driver: more than ``MAX_TARGETS`` rows raise. ``total_tokens`` defaults to the tokens of the documents in any target.
     """
+    if targets.count() > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
     at_hand = {tuple(r[:-1]): r[-1] for r in sizes.join(F.broadcast(targets.select(*levels)), list(levels), "left_semi").groupBy(*levels).agg(F.sum("tokens")).collect()}
     rows = [(tuple(r[c] for c in levels), float(r["weight"] or 0), int(r["max_repeats"] or 0)) for r in targets.collect()]
     if any(w < 0 for _, w, _ in rows) or len({p for p, _, _ in rows}) < len(rows):
@@ -128,10 +134,10 @@ def select(
         "id", *levels, "tokens", "epochs", "rest", order.alias("_m_order")
     ).withColumn("_m_slice", F.floor((F.col("_m_order").cast("double") / F.lit(2.0**64) + 0.5) * SLICES).cast("int"))
     whole = Window.partitionBy(*levels).orderBy("_m_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # at most SLICES rows per target
+    # at most SLICES rows per target: broadcast for few targets, joined by slice for many
     slices = placed.where(F.col("rest") > 0).groupBy(*levels, "_m_slice").agg(F.sum("tokens").alias("_m_sum"))
     slices = slices.withColumn("_m_before", F.coalesce(F.sum("_m_sum").over(whole), F.lit(0)))
-    located = placed.join(F.broadcast(slices), [*levels, "_m_slice"], "left")
+    located = placed.join(F.broadcast(slices) if len(leaves) <= BROADCAST_TARGETS else slices, [*levels, "_m_slice"], "left")
     before, summed = F.col("_m_before"), F.col("_m_sum")
     within = before + summed <= F.col("rest")
     ending = ~within & (before < F.col("rest"))
