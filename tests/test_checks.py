@@ -105,6 +105,16 @@ def test_zones_against_ray_casting(spark, rows_per_salt):
     assert len({z for z, _ in found}) >= 3
 
 
+def test_zone_of_very_many_edges(spark):
+    corners = [(math.cos(a) * (3 + math.sin(40 * a)), math.sin(a) * (3 + math.sin(40 * a))) for a in (2 * math.pi * k / 3000 for k in range(3000))]
+    rings = ring(1, 0, corners) + ring(2, 0, [(9, 9), (10, 9), (9, 10)])
+    rng = random.Random(9)
+    points = [(k, rng.uniform(-4.5, 4.5), rng.uniform(-4.5, 4.5)) for k in range(400)]
+    found = sorted((r.zone_id, r.id) for r in locate_in_zones(spark.createDataFrame(points, POINTS), spark.createDataFrame(rings, RINGS)).collect())
+    assert found == sorted((1, p) for p, y, x in points if inside(rings, 1, x, y)) and len(found) > 50
+    assert {r.level for r in trapezoids(spark.createDataFrame(rings, RINGS)).select("level").distinct().collect()} == {0, 2}
+
+
 def test_zones_empty_and_repeated_vertices(spark):
     rings = ring(1, 0, [(0, 0), (4, 0), (4, 4), (0, 4)])
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 9.0, 9.0)], POINTS)

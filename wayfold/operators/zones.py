@@ -4,7 +4,8 @@
    or ends, so the edges are ordered; the space between the 1st and 2nd, 3rd and 4th ... is inside.
    These trapezoids are found with window functions.
 2. Trapezoids are distributed over square tiles. The tile side is the power of two just above the
-   region's extent, so a region touches four tiles at most, whatever its size.
+   region's extent, so a region touches four tiles at most, whatever its size; regions of very many edges
+   get smaller tiles, so that no tile holds a coast in all its detail.
 3. Points are sent to their tile (one per size level in use; hot tiles are split by salts) and stream by
    behind the tile's trapezoids. A point finds its slab and then its trapezoid by binary search.
 """
@@ -24,6 +25,9 @@ from wayfold.operators.skew import hot_keys, repeat, spread
 _SIDES = ["lx1", "ly1", "lx2", "ly2", "ux1", "uy1", "ux2", "uy2"]
 _TILE = ["level", "col", "row", "salt"]
 
+#: A region with more edges than this is spread over tiles of about as many.
+EDGES_PER_TILE = 256
+
 
 def ring_edges(rings: DataFrame) -> DataFrame:
     """Non-vertical edges ``(zone_id, x1, y1, x2, y2)``, ``x1 < x2``, of all rings, closing each ring.
@@ -91,8 +95,10 @@ def trapezoids(rings: DataFrame) -> DataFrame:
     extent = edges.groupBy("zone_id").agg(
         (F.max("x2") - F.min("x1")).alias("w"),
         (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("h"),
+        F.count(F.lit(1)).alias("n"),
     )
-    level = F.ceil(F.log2(F.greatest("w", "h", F.lit(1e-9)))).cast("int").alias("level")
+    finer = F.floor(F.log2(F.greatest(F.col("n") / EDGES_PER_TILE, F.lit(1.0))) / 2)
+    level = (F.ceil(F.log2(F.greatest("w", "h", F.lit(1e-9)))) - finer).cast("int").alias("level")
     return inside.join(extent.select("zone_id", level), "zone_id")
 
 
