@@ -133,6 +133,7 @@ RESIDUE = [
     ("slot", "Ten out of ten from %FIRST_NAME%."), ("slot", "Hello %1$s, nice."), ("slot", "Dear @@name@@!"), ("slot", "Signed ________."),
     ("slot", "The [object Object] lamp is fine."), ("slot", "Pleases undefined undefined, costs little."), ("slot", "(YOUR NAME)\n{0}"),
     ("slot", "Broke after %7B%7Bdate%7D%7D days."), ("slot", "Better than <?= $brand ?> by far."), ("slot", "The «city» shop."),
+    ("slot", "templates {{ a }} {{ b }} {{ c }}"),
     ("filler", "Lorem ipsum dolor sit amet elit."), ("filler", "Good lamp. Tempor nostrud elit amet sint magna."), ("filler", "asdf asdf asdfasdf asdf asdf"),
     ("filler", "Title Paragraph word word Caption dummy"), ("filler", "It works. Sample text. / Sample text."), ("filler", "Your review goes here..."),
     ("filler", "Texte de remplissage!"), ("filler", "Blindtext für die Bewertung Blindtext für die Bewertung Blindt"), ("filler", "bla " * 50_000),

@@ -73,6 +73,8 @@ _SPOKEN_OF = (
 )
 _QUOTED = r"[\"“”„«»]\s?[{\[<%$#@_][^\"“”„«»\n]{1,60}[\"“”„«»]"
 
+#: Words that a sentence must have for each slot to be a report of it.
+WORDS_PER_SLOT = 4
 #: The word of a script language for an unset value, unless used as an ordinary adjective.
 _UNDEFINED = r"(?iu)(?<![\p{L}\p{N}])undefined(?![\p{L}\p{N}])"
 _UNDEFINED_ADJECTIVE = (
@@ -168,7 +170,10 @@ def residue_kinds(text: Column) -> Column:
     def slot(s: Column) -> Column:
         bare = F.regexp_replace(s, _QUOTED, " ")
         unset = F.regexp_replace(s, _UNDEFINED_ADJECTIVE, " ").rlike(_UNDEFINED)
-        return s.rlike(_SIGN) & (bare.rlike(slots) | bare.rlike(_CAPITALS_SLOT) | unset) & ~s.rlike(_SPOKEN_OF)
+        holds = bare.rlike(slots) | bare.rlike(_CAPITALS_SLOT) | unset
+        # where slots are dense, a word about templates doesn't make it a report
+        spoken_of = s.rlike(_SPOKEN_OF) & (F.regexp_count(bare, F.lit(slots)) * WORDS_PER_SLOT <= F.size(F.split(s, " ")))
+        return s.rlike(_SIGN) & holds & ~spoken_of
 
     def announcement(s: Column) -> Column:
         return F.regexp_replace(F.lower(s), _REPEATED, "$1").rlike(_ANNOUNCEMENTS)
