@@ -152,6 +152,17 @@ def test_nearest(spark, grid):
     assert nearest_pois(grid, pois.limit(0), 3, 2, "distance").count() == 0
 
 
+def test_nearest_of_many_points_at_a_node(spark, grid):
+    pois = spark.createDataFrame([(5, k % 700) for k in range(1400)] + [(10, 1)], "node_id bigint, poi_id int")
+    found = nearest_pois(grid, pois, 3, 3, "distance")
+    by_node = {}
+    for r in found.orderBy("node_id", "rank").collect():
+        by_node.setdefault(r.node_id, []).append((r.poi_id, r.distance))
+    assert by_node[5] == [(0, 0), (0, 0), (1, 0)] and by_node[9] == [(1, 1), (0, 3), (0, 3)]
+    # a task sends the points of a node on only as far as they can be an answer
+    assert "row_number(), 3, Partial" in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("strategy", ["auto", "frontier"])
 def test_routes(spark, grid, strategy):
     pairs = spark.createDataFrame([(0, 8, "r"), (0, 8, "s"), (3, 3, "t"), (0, 7, "u"), (None, 1, "v"), (0, 77, "w")], "origin bigint, destination bigint, tag string")

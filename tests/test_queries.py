@@ -23,3 +23,13 @@ def test_no_query_multiplies_tables(spark):
     for name, query in QUERIES.items():
         plan = query(spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_street_nearest_all_has_further_observations_of_a_node(spark):
+    points = spark.read.parquet(f"{DATA}/initialize_acc_var.parquet").where("category = 'wait_s'").select("node_idx", "obs_id").distinct()
+    found = QUERIES["street_nearest_all"](spark, DATA).where("distance = 0").groupBy("node_id").agg({"poi_id": "collect_list"}).collect()
+    at = {}
+    for node, point in points.collect():
+        at.setdefault(node, []).append(point)
+    assert found and max(len(ids) for _, ids in found) == 3
+    assert all(sorted(ids) == sorted(at[node])[:3] for node, ids in found)

@@ -20,7 +20,7 @@ def nearest_pois(
     ``max_items`` raises.
 
     The search runs from the points' nodes backwards, so its size follows the points; per node only the k
-    nearest of them are kept, before their points are joined.
+    nearest of them are kept, and per node the k smallest points, before the two are joined.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -33,9 +33,12 @@ def nearest_pois(
     nodes = found.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= k).select(
         F.col("destination").alias("node_id"), F.col("source").alias("at"), "cost"
     )
+    # further points of a node come after k of the same node in every answer
+    smallest = Window.partitionBy("at").orderBy("poi_id")
+    points = placed.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k).drop("place")
     in_order = Window.partitionBy("node_id").orderBy("cost", "at", "poi_id")
     return (
-        nodes.join(placed, "at")
+        nodes.join(points, "at")
         .withColumn("rank", F.row_number().over(in_order))
         .where(F.col("rank") <= k)
         .select("node_id", "rank", (F.col("cost") / 1000.0).alias("distance"), "poi_id")

@@ -219,7 +219,7 @@ def street_median_income(spark: SparkSession, d: str) -> DataFrame:
 
 
 def street_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest observations of waiting times of each street node, as points at nodes."""
+    """The three nearest nodes with waiting times of each street node, each by its smallest observation."""
     network = street_network(spark, d)
     points = table(spark, d, "initialize_acc_var").where("category = 'wait_s' AND node_idx IS NOT NULL").groupBy(
         F.col("node_idx").alias("node_id")
@@ -227,6 +227,14 @@ def street_nearest(spark: SparkSession, d: str) -> DataFrame:
     return nearest_pois(network, points, STREET_RADIUS, 3)
 
 
+def street_nearest_all(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest observations of waiting times of each street node; those of one node are points each."""
+    points = table(spark, d, "initialize_acc_var").where("category = 'wait_s' AND node_idx IS NOT NULL").select(
+        F.col("node_idx").alias("node_id"), F.col("obs_id").alias("poi_id")
+    ).distinct()
+    return nearest_pois(street_network(spark, d), points, STREET_RADIUS, 3)
+
+
 _AGGREGATES = {
     "agg_sum_flat": ("sum", "flat"), "agg_sum_linear": ("sum", "linear"), "agg_sum_exp": ("sum", "exp"),
     "agg_mean_flat": ("mean", "flat"), "agg_mean_linear": ("mean", "linear"), "agg_mean_exp": ("mean", "exp"),
@@ -246,6 +254,7 @@ QUERIES = {
     "remove_nodes_edges": remove_nodes_edges, "remove_nodes_nodes": remove_nodes_nodes,
     "node_index": q_node_index, "resolve_ids": q_resolve_ids, "adjacency_counts": q_adjacency_counts, "reindex": q_reindex, "bbox": bbox, "osm_elements": osm_elements, "plot_bins": plot_bins,
     "street_reach_count": street_reach_count, "street_median_income": street_median_income, "street_nearest": street_nearest,
+    "street_nearest_all": street_nearest_all,
 }
 
 _GRID = f"""
@@ -366,4 +375,9 @@ FROM gnodes JOIN orders ON o_custkey = node_id WHERE x BETWEEN 5 AND 34 AND y >=
         _arcs_sql(edges="sedges"), _reach_sql(STREET_RADIUS, "SELECT node_id FROM pts", reverse=True),
     ) + """SELECT * FROM (SELECT destination AS node_id, CAST(row_number() OVER (PARTITION BY destination ORDER BY cost, source, poi_id) AS INT) AS rank,
   cost / 1000.0 AS distance, poi_id FROM reach JOIN pts ON pts.node_id = source) WHERE rank <= 3""",
+    "street_nearest_all": _with(
+        _STREET, "pts AS (SELECT DISTINCT node_idx AS node_id, obs_id AS poi_id FROM initialize_acc_var WHERE category = 'wait_s' AND node_idx IN (SELECT node_id FROM snodes))",
+        _arcs_sql(edges="sedges"), _reach_sql(STREET_RADIUS, "SELECT DISTINCT node_id FROM pts", reverse=True),
+    ) + """SELECT * FROM (SELECT destination AS node_id, CAST(row_number() OVER (PARTITION BY destination ORDER BY cost, source, poi_id) AS INT) AS rank,
+  cost / 1000.0 AS distance, poi_id FROM reach JOIN pts ON pts.node_id = source) WHERE rank <= 3""",
 }
