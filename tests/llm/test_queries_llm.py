@@ -36,3 +36,21 @@ def test_packing_is_whole(spark):
     packed = QUERIES["p6_packing"](spark, DATA)
     assert {r["pack"]: r["n"] for r in packed.groupBy("pack").agg({"item_id": "count"}).withColumnRenamed("count(item_id)", "n").collect()}.keys() == {"small", "medium", "large"}
     assert packed.select("pack", "item_id").distinct().count() == 3 * texts
+
+
+def test_languages_of_a_source_are_whole(spark, tmp_path):
+    langs = ["en", "EN", "de-AT", "de_DE", "fr", "es", " es ", None, "", "English", "pt", "-", "und"]
+    docs = [(k, source, lang, "a word or two of a review " * (k % 5 + 1)) for k, (source, lang) in enumerate((s, x) for s in ("a", "b", None) for x in langs)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets = [("a", 0.5, 1), ("b", 0.5, 1)]
+    spark.createDataFrame(targets, "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    # every document is used once, as the targets of both sources together allow no more than what is there
+    by_source = {r.source: r for r in QUERIES["p7_shares"](spark, str(tmp_path)).collect()}
+    leaves = {(r.source, r.lang): r for r in QUERIES["p7_language_shares"](spark, str(tmp_path)).collect()}
+    assert len(leaves) == 10
+    for source in ("a", "b"):
+        mine = {lang: r for (s, lang), r in leaves.items() if s == source}
+        assert {lang: r.documents for lang, r in mine.items()} == {"en": 2, "de": 2, "fr": 1, "es": 2, "other": 6}
+        assert sum(r.tokens for r in mine.values()) == by_source[source].tokens
+        assert sum(r.budget for r in mine.values()) == pytest.approx(by_source[source].budget, abs=5)
+        assert sum(r.target_share for r in mine.values()) == pytest.approx(0.5)

@@ -16,6 +16,9 @@ from wayfold.session import cut_lineage, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
+#: Languages with a leaf of their own in p7_language_shares.
+LANGUAGES = ("en", "de", "fr", "es")
+
 
 def _counts(spark: SparkSession, d: str, group: list[str]) -> DataFrame:
     return pct.value_counts(table(spark, d, "initialize_acc_var"), group, "values", "obs_id")
@@ -98,15 +101,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_language_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Shares in a tree of sources and, below each, four languages of equal weight.
+    """Shares in a tree of sources and, below each, four languages and ``other``, of equal weight.
 
-    What a language of a source lacks is made up by the other languages of that source first.
+    ``other`` holds null and any further language, so the tree has every document of its sources. What a leaf
+    of a source lacks is made up by the other leaves of that source first.
     """
+    code = F.lower(F.regexp_extract("lang", r"^\s*(\p{L}+)\s*(?:[-_]|$)", 1))
     sizes = table(spark, d, "documents").select(
-        F.col("doc_id").alias("id"), "source", F.lower(F.substring_index("lang", "-", 1)).alias("lang"), token_counts(F.col("text")).alias("tokens")
+        F.col("doc_id").alias("id"), "source", F.when(code.isin(*LANGUAGES), code).otherwise("other").alias("lang"), token_counts(F.col("text")).alias("tokens")
     )
-    languages = F.explode(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])).alias("lang")
-    targets = table(spark, d, "mix_targets").select("source", languages, (F.col("target_share") / 4).alias("weight"), "max_repeats")
+    leaves = F.explode(F.array(*[F.lit(x) for x in (*LANGUAGES, "other")])).alias("lang")
+    targets = table(spark, d, "mix_targets").select("source", leaves, (F.col("target_share") / (len(LANGUAGES) + 1)).alias("weight"), "max_repeats")
     return mixing.select(cut_lineage(sizes), targets, ["source", "lang"])[1]
 
 
