@@ -33,3 +33,15 @@ def test_street_nearest_all_has_further_observations_of_a_node(spark):
         at.setdefault(node, []).append(point)
     assert found and max(len(ids) for _, ids in found) == 3
     assert all(sorted(ids) == sorted(at[node])[:3] for node, ids in found)
+
+
+def test_whole_tables_of_all_queries(spark):
+    rows = {t: spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("customer", "orders", "edges_df")}
+    filled = QUERIES["nearest_poi_fill_all"](spark, DATA)
+    customers = rows["customer"].count()
+    assert {r["category"]: r["count"] for r in filled.groupBy("category").count().collect()} == {c: customers for c in range(3)}
+    resolved = QUERIES["resolve_ids_all"](spark, DATA)
+    edges = rows["edges_df"].count()
+    assert {r["side"]: r["count"] for r in resolved.groupBy("side").count().collect()} == {"from": edges, "to": edges}
+    segments = QUERIES["reindex_all"](spark, DATA)
+    assert segments.count() == rows["orders"].count() and segments.where("value IS NULL").count() == 0

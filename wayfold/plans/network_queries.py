@@ -7,6 +7,8 @@ second network is the street network of the tables ``nodes_df`` and ``edges_df``
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ COLUMNS = 40
 RADIUS = 10.0
 STREET_RADIUS = 800.0
 POI_RADIUS = 2000.0
+#: Categories of suppliers, by nation.
+CATEGORIES = 3
 
 
 def grid_network(spark: SparkSession, d: str, twoway: bool = True) -> Network:
@@ -62,7 +66,7 @@ def _suppliers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pois(network: Network, spark: SparkSession, d: str) -> DataFrame:
-    return nearest_node(network, _suppliers(spark, d), "px", "py").select("poi_id", "node_id", (F.col("s_nationkey") % 3).alias("category"))
+    return nearest_node(network, _suppliers(spark, d), "px", "py").select("poi_id", "node_id", (F.col("s_nationkey") % CATEGORIES).alias("category"))
 
 
 #: Added before rounding, so that halves of a cent go up in any order of summing.
@@ -119,9 +123,22 @@ def nearest_poi_k3_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_poi_fill(spark: SparkSession, d: str) -> DataFrame:
+    """The two nearest suppliers of category 1 for each node."""
+    network = grid_network(spark, d)
+    return _filled(network, _pois(network, spark, d), 1)
+
+
+def nearest_poi_fill_all(spark: SparkSession, d: str) -> DataFrame:
+    """The two nearest suppliers of every category for each node."""
     network = grid_network(spark, d)
-    pois = _pois(network, spark, d).where(F.col("category") == 1)
-    wide = nearest_wide(network, nearest_pois(network, pois, RADIUS, 2, "distance"), 2, RADIUS, True)
+    pois = _pois(network, spark, d)
+    each = [_filled(network, pois, c).select(F.lit(c).alias("category"), "*") for c in range(CATEGORIES)]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _filled(network: Network, pois: DataFrame, category: int) -> DataFrame:
+    mine = pois.where(F.col("category") == category)
+    wide = nearest_wide(network, nearest_pois(network, mine, RADIUS, 2, "distance"), 2, RADIUS, True)
     return wide.select("node_id", F.col("1").alias("d1"), F.col("2").alias("d2"), "poi1", "poi2")
 
 
@@ -174,11 +191,19 @@ def q_node_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_resolve_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Edge ends as dense numbers of street nodes, null where unknown."""
+    """Starts of edges as dense numbers of street nodes, null where unknown."""
     ends = table(spark, d, "edges_df").select("edge_id", F.col("from").alias("end"))
     return resolve_ids(street_network(spark, d), ends, "end")
 
 
+def resolve_ids_all(spark: SparkSession, d: str) -> DataFrame:
+    """Both ends of edges as dense numbers of street nodes, null where unknown."""
+    ends = table(spark, d, "edges_df").select("edge_id", F.inline(F.array(
+        F.struct(F.lit("from").alias("side"), F.col("from").alias("end")), F.struct(F.lit("to").alias("side"), F.col("to").alias("end"))
+    )))
+    return resolve_ids(street_network(spark, d), ends, "end")
+
+
 def q_adjacency_counts(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "edges_df").select("from", "to")
     return adjacency_counts(pairs)
@@ -190,6 +215,12 @@ def q_reindex(spark: SparkSession, d: str) -> DataFrame:
     return reindex(values, keys)
 
 
+def reindex_all(spark: SparkSession, d: str) -> DataFrame:
+    """The segment of each order's customer, over all customers."""
+    keys = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
+    return reindex(table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value")), keys)
+
+
 def bbox(spark: SparkSession, d: str) -> DataFrame:
     return street_network(spark, d).bbox
 
@@ -254,7 +285,7 @@ QUERIES = {
     "remove_nodes_edges": remove_nodes_edges, "remove_nodes_nodes": remove_nodes_nodes,
     "node_index": q_node_index, "resolve_ids": q_resolve_ids, "adjacency_counts": q_adjacency_counts, "reindex": q_reindex, "bbox": bbox, "osm_elements": osm_elements, "plot_bins": plot_bins,
     "street_reach_count": street_reach_count, "street_median_income": street_median_income, "street_nearest": street_nearest,
-    "street_nearest_all": street_nearest_all,
+    "street_nearest_all": street_nearest_all, "nearest_poi_fill_all": nearest_poi_fill_all, "resolve_ids_all": resolve_ids_all, "reindex_all": reindex_all,
 }
 
 _GRID = f"""
@@ -380,4 +411,16 @@ FROM gnodes JOIN orders ON o_custkey = node_id WHERE x BETWEEN 5 AND 34 AND y >=
         _arcs_sql(edges="sedges"), _reach_sql(STREET_RADIUS, "SELECT DISTINCT node_id FROM pts", reverse=True),
     ) + """SELECT * FROM (SELECT destination AS node_id, CAST(row_number() OVER (PARTITION BY destination ORDER BY cost, source, poi_id) AS INT) AS rank,
   cost / 1000.0 AS distance, poi_id FROM reach JOIN pts ON pts.node_id = source) WHERE rank <= 3""",
+    "nearest_poi_fill_all": _grid_sql(_arcs_sql(), _reach_sql(RADIUS, "SELECT DISTINCT node_id FROM snapped", reverse=True)) + f""", found AS (
+  SELECT s_nationkey % 3 AS category, destination AS node_id, cost / 1000.0 AS distance, poi_id,
+         row_number() OVER (PARTITION BY s_nationkey % 3, destination ORDER BY cost, source, poi_id) AS rank
+  FROM reach JOIN snapped s ON s.node_id = source)
+SELECT c.category, n.node_id, coalesce(max(distance) FILTER (rank = 1), {RADIUS}) AS d1, coalesce(max(distance) FILTER (rank = 2), {RADIUS}) AS d2,
+       max(poi_id) FILTER (rank = 1) AS poi1, max(poi_id) FILTER (rank = 2) AS poi2
+FROM gnodes n CROSS JOIN (VALUES (0), (1), (2)) c(category) LEFT JOIN found f ON f.node_id = n.node_id AND f.category = c.category GROUP BY ALL""",
+    "resolve_ids_all": _with(_STREET) + """, ends AS (
+  SELECT edge_id, 'from' AS side, "from" AS "end" FROM edges_df UNION ALL SELECT edge_id, 'to', "to" FROM edges_df)
+SELECT edge_id, side, "end", node_idx
+FROM ends LEFT JOIN (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS node_idx FROM snodes) ON node_id = "end" """,
+    "reindex_all": "SELECT o_custkey AS key, o_orderkey, c_mktsegment AS value FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
 }
