@@ -79,6 +79,19 @@ def test_packing_places_everything_once(spark, per_shard):
     assert packing.pack(items, kinds.where("false")).count() == 0
 
 
+def test_packing_repeated_items_above_the_capacity(spark):
+    rows = [(903, 250), (903, 250), (903, 330), (904, 100), (904, 100), (1, 100), (None, 250), (None, 250), (None, 100)]
+    kinds = spark.createDataFrame([("s", 100), ("l", 1000)], "pack string, capacity int")
+    packed = packing.pack(spark.createDataFrame(rows, "item_id bigint, size int"), kinds)
+    boxes = packing.containers(packed).collect()
+    assert all(0 <= r.unused < r.capacity and r.fill <= r.capacity for r in boxes)
+    assert len({(r.pack, r.container) for r in boxes}) == len(boxes)
+    assert sorted((r.item_id or 0, r.size) for r in packed.where("pack = 'l'").collect()) == sorted((k or 0, size) for k, size in rows)
+    small = {r.pack: r for r in packing.waste(packed).collect()}["s"]
+    # 15 full pieces, and rests of 50, 50, 30, 50, 50 in three more
+    assert (small.tokens, small.containers, small.unused) == (1730, 18, 70)
+
+
 def test_budgets_go_to_siblings_first():
     leaves = [(("web", "en", "a"), 0.3, 100), (("web", "en", "b"), 0.3, 1e9), (("web", "de", "c"), 0.2, 1e9), (("books", "en", "d"), 0.2, 1e9)]
     found = mixing.allocate(leaves, 1000)

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.session import cut_lineage
@@ -107,8 +107,9 @@ def pack(items: DataFrame, capacities: DataFrame, items_per_shard: int = ITEMS_P
     """
     schema = "pack string, capacity int, item_id bigint, piece int, size int, shard bigint, container bigint, final boolean"
     cut = pieces(items, capacities)
-    # full pieces are containers of their own
-    whole = cut.where(F.col("size") == F.col("capacity"))
+    # full pieces are containers of their own; equal ones of repeated items, or of items without an id, are numbered
+    alike = Window.partitionBy("pack", "item_id", "piece").orderBy("size")
+    whole = cut.where(F.col("size") == F.col("capacity")).withColumn("copy", F.row_number().over(alike))
     loose = cut.where(F.col("size") < F.col("capacity"))
     total = loose.groupBy("pack").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
     shards = F.greatest(F.lit(1), F.ceil(total / F.lit(items_per_shard)))
@@ -122,7 +123,7 @@ def pack(items: DataFrame, capacities: DataFrame, items_per_shard: int = ITEMS_P
     name = lambda kind, *parts: F.concat_ws("-", F.lit(kind), *parts)
     columns = ["pack", "capacity", "container", "item_id", "piece", "size"]
     return (
-        whole.withColumn("container", name("w", "item_id", "piece")).select(columns)
+        whole.withColumn("container", name("w", "item_id", "piece", "copy")).select(columns)
         .unionByName(kept.withColumn("container", name("a", "shard", "container")).select(columns))
         .unionByName(second.withColumn("container", name("b", "shard", "container")).select(columns))
     )
