@@ -167,6 +167,14 @@ REAL = [
 ]
 
 
+def test_titles_of_pages_before_a_message(spark):
+    pages = ["Access denied - Check the address and reload.", "Something went wrong: Please try again later.", "Fine lamp.\nAccess denied – Sign in again to continue.",
+             "ACCESS DENIED | Go back to the homepage", "Something went wrong — the upstream server did not answer in time.", "Access denied.", "Something went wrong!"]
+    real = ["Access denied - that is what my door said, the lock is poor.", "Something went wrong: the left leg was bent.", "Access denied to my own shed, thanks to this lock."]
+    df = spark.createDataFrame(list(enumerate(pages + real)), "doc_id int, text string")
+    assert {r.doc_id for r in find_residue(df).collect()} == set(range(len(pages)))
+
+
 def test_residue(spark):
     rows = [(k, kind, text) for k, (kind, text) in enumerate([*RESIDUE, *[(None, t) for t in REAL]])]
     df = spark.createDataFrame(rows, "doc_id int, kind string, text string").withColumn("kinds", F.lit("clash"))

@@ -111,13 +111,9 @@ _ANNOUNCEMENTS = (
     r")\W{0,6}$"
 )
 
-#: Messages of pages; they count at the start of a sentence. (Matched against lower case.)
-MESSAGE_PATTERNS = {
-    "status": r"^\W{0,3}(?:(?:http|error|fehler|erreur)\s?:?\s?)?(?:400|401|403|404|408|410|429|500|502|503|504)\b\s?[:\-–]?\s?(?:not found|forbidden|bad (?:gateway|request)|"
-    r"service (?:temporarily )?unavailable|internal server error|gateway time-?out|request time-?out|unauthori[sz]ed|too many requests|gone|"
-    r"seite nicht gefunden|interner|p[aá]gina no encontrada|page (?:introuvable|non trouv[eé]e)|acc[eè]s|zugriff)",
-    "error of a server": r"^\W{0,3}(?:error|fehler|erreur)\s?\p{N}{3}\s?[:\-–]|^\W{0,3}(?:internal server error|interner serverfehler|erreur interne|error interno)",
-    "sentence of an error page": r"^\W{0,3}(?:oops\W{0,4}(?:something|$)|something went wrong\W{0,3}$|we hit a snag|access denied\W{0,3}$|request timed out|your session has expired|"
+#: Starts of the sentences of error pages; also what must follow a title that may begin a real sentence.
+_PAGE_SENTENCES = (
+    r"we hit a snag|request timed out|your session has expired|"
     r"this (?:page|review|content) (?:could|can) ?not be (?:found|loaded|displayed)|the (?:page|resource) you (?:asked for|requested)|the upstream server|page not found|"
     r"if the problem persists|our team has been (?:told|notified)|(?:please )?try again later\W{0,3}$|check the address and reload|go back to the home ?page|sign in again|"
     r"etwas ist schiefgelaufen|da ist etwas schiefgelaufen|ihre sitzung ist abgelaufen|die angeforderte seite|zugriff verweigert|dienst vor[uü]bergehend|seite nicht gefunden|"
@@ -125,7 +121,15 @@ MESSAGE_PATTERNS = {
     r"une erreur est survenue|votre session a expir|page introuvable|la page demand|acc[eè]s refus|service temporairement|merci de (?:r[eé]essayer|vous reconnecter)|"
     r"veuillez (?:r[eé]essayer|vous reconnecter)|retour [aà] l'accueil|"
     r"algo (?:ha )?sali[oó] mal|ha ocurrido un error|su sesi[oó]n ha caducado|p[aá]gina no encontrada|la p[aá]gina solicitada|acceso denegado|servicio (?:temporalmente )?no disponible|"
-    r"int[eé]ntelo (?:de nuevo|m[aá]s tarde)|vuelva a (?:iniciar|intentar)|volver al inicio)",
+    r"int[eé]ntelo (?:de nuevo|m[aá]s tarde)|vuelva a (?:iniciar|intentar)|volver al inicio"
+)
+#: Messages of pages; they count at the start of a sentence. (Matched against lower case.)
+MESSAGE_PATTERNS = {
+    "status": r"^\W{0,3}(?:(?:http|error|fehler|erreur)\s?:?\s?)?(?:400|401|403|404|408|410|429|500|502|503|504)\b\s?[:\-–]?\s?(?:not found|forbidden|bad (?:gateway|request)|"
+    r"service (?:temporarily )?unavailable|internal server error|gateway time-?out|request time-?out|unauthori[sz]ed|too many requests|gone|"
+    r"seite nicht gefunden|interner|p[aá]gina no encontrada|page (?:introuvable|non trouv[eé]e)|acc[eè]s|zugriff)",
+    "error of a server": r"^\W{0,3}(?:error|fehler|erreur)\s?\p{N}{3}\s?[:\-–]|^\W{0,3}(?:internal server error|interner serverfehler|erreur interne|error interno)",
+    "sentence of an error page": rf"^\W{{0,3}}(?:oops\W{{0,4}}(?:something|$)|(?:something went wrong|access denied)(?:\W{{0,3}}$|\s{{0,2}}[\-–—:|]\s{{0,2}}(?:{_PAGE_SENTENCES}))|{_PAGE_SENTENCES})",
     "scripts required": r"^\W{0,3}(?:java ?script (?:is|must|seems|needs|appears|has) \b.{0,20}(?:required|needed|disabled|enabled|off)|(?:please )?(?:enable|activate|turn on) (?:java ?script|scripts)|"
     r"you (?:need|have) to (?:turn on|enable|activate) (?:java ?script|scripts)|(?:this|our) (?:site|page|website) (?:needs|requires) (?:java ?script|scripts)|scripts are (?:blocked|disabled)|"
     r"your browser (?:does not|doesn't) support|your browser (?:blocks|has) \b.{0,20}scripts?|"
