@@ -30,8 +30,7 @@ def expected_percentiles(rows):
 
 
 @pytest.mark.parametrize("rows_per_slice", [200_000, 50])
-def test_percentiles(spark, monkeypatch, rows_per_slice):
-    monkeypatch.setattr(pct, "ROWS_PER_SLICE", rows_per_slice)
+def test_percentiles(spark, rows_per_slice):
     rng = random.Random(1)
     rows = [("a", rng.gauss(0, 1e3)) for _ in range(700)] + [("b", float(rng.randint(-3, 3))) for _ in range(500)]
     rows += [("c", 5.0), (None, 1.5), (None, -1.5), ("d", None), ("d", float("nan")), ("e", -0.0), ("e", 0.0), ("a", 1e300), ("a", -1e300)]
@@ -39,7 +38,7 @@ def test_percentiles(spark, monkeypatch, rows_per_slice):
     data += data[:50]  # copies of rows
     df = spark.createDataFrame(data, "obs bigint, grp string, values double, n string")
     counts = pct.value_counts(df, ["grp"], "values", "obs")
-    found = {r[0]: tuple(r)[1:] for r in pct.percentiles(counts, ["grp"]).collect()}
+    found = {r[0]: tuple(r)[1:] for r in pct.percentiles(counts, ["grp"], rows_per_slice=rows_per_slice).collect()}
     assert found == expected_percentiles(rows)
 
 

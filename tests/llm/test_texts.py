@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,6 +80,22 @@ def test_packing_places_everything_once(spark, per_shard):
     assert packing.pack(items, kinds.where("false")).count() == 0
 
 
+def test_packing_of_items_that_fit_no_other_stays_in_shards(spark):
+    items = spark.range(0, 6400).select(F.col("id").alias("item_id"), F.lit(60).alias("size"))
+    kinds = spark.createDataFrame([("s", 100)], "pack string, capacity int")
+    packed = packing.pack(items, kinds, 100)
+    boxes = packing.containers(packed)
+    assert boxes.count() == 6400 and boxes.where("items <> 1").count() == 0
+    # the shards of the round that closed them: none has all that is left
+    def largest(pdf):
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    assert packed.groupBy(F.split("container", "-")[1]).applyInPandas(largest, "n long").agg(F.max("n")).first()[0] < 200
+    mixed = items.unionByName(spark.range(7000, 13400).select(F.col("id").alias("item_id"), F.lit(40).alias("size")))
+    both = packing.waste(packing.pack(mixed, kinds, 100)).first()
+    assert both.containers <= both.least_containers * 1.02 and packing.flaws(packing.pack(mixed, kinds, 100)).first()[2:] == (0, 0, 0, False)
+
+
 def test_packing_repeated_items_above_the_capacity(spark):
     rows = [(903, 250), (903, 250), (903, 330), (904, 100), (904, 100), (1, 100), (None, 250), (None, 250), (None, 100)]
     kinds = spark.createDataFrame([("s", 100), ("l", 1000)], "pack string, capacity int")
@@ -140,6 +157,21 @@ def test_mixing(spark):
         mixing.select(df, targets.union(targets), ["source"])
 
 
+def test_tree_of_sources_keeps_their_weights(spark):
+    sizes = spark.createDataFrame(
+        [(k, d, x, s, n) for k, (d, x, s, n) in enumerate([("web", "en", "a", 30), ("web", "de", "a", 10), ("web", "en", "b", 500), ("books", "en", "c", 900), ("web", "other", "a", None)])],
+        "id bigint, domain string, lang string, source string, tokens int",
+    )
+    targets = spark.createDataFrame([("a", 0.4, 1, "web"), ("b", 0.2, 1, "web"), ("c", 0.3, 1, "books"), ("gone", 0.1, 9, "web")], "source string, weight double, max_repeats int, domain string")
+    leaves = mixing.tree_targets(sizes, targets, "source", ["domain", "lang"])
+    found = {(r.domain, r.lang, r.source): r.weight for r in leaves.collect()}
+    assert found == pytest.approx({("web", "en", "a"): 0.3, ("web", "de", "a"): 0.1, ("web", "en", "b"): 0.2, ("books", "en", "c"): 0.3, ("web", None, "gone"): 0.1})
+    budgets = {r[0]: r[4] for r in mixing.plan(sizes, leaves, ["domain", "lang", "source"], 400)}
+    # what a lacks in both languages, and what gone lacks, is made up by b of the same domain and not by c
+    assert budgets[("web", "en", "a")] == 30 and budgets[("web", "de", "a")] == 10
+    assert budgets[("books", "en", "c")] == pytest.approx(120) and budgets[("web", "en", "b")] == pytest.approx(240)
+
+
 RESIDUE = [
     ("slot", "Hello {{ first_name | title }}, thank you for your lamp."), ("slot", "Hi {{produ..."), ("slot", "I bought ${item} twice."),
     ("slot", "Fits <product name>, pleases my aunt."), ("slot", "It is &lt;city&gt; nice."), ("slot", "Perfekt für [Ihr Name] und mich."),
@@ -175,6 +207,28 @@ def test_titles_of_pages_before_a_message(spark):
     assert {r.doc_id for r in find_residue(df).collect()} == set(range(len(pages)))
 
 
+def test_residue_of_any_length(spark):
+    long = "a" * 3000
+    code = "x = {{ value }} " * 8000
+    rows = [f"A course:\n```\n{code}```\nFine.", f"Use `{long} {{{{ x }}}}` here.", f"Hello {{{{ {long} }}}}.", f"Dear ${{{long}}}, fine.", f"It says {{% if {long} %}}", f"Never closed ```\n{code}",
+            "qzkjfhgw " + "nice lamp. " * 5000, "bla " * 60_000, "Sample text. " * 30_000]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    assert {r.doc_id: r.kinds for r in find_residue(df).collect()} == {2: ["slot"], 3: ["slot"], 4: ["slot"], 5: ["slot"], 6: ["filler"], 7: ["filler"], 8: ["filler"]}
+
+
+def test_residue_in_words_of_its_own(spark):
+    """Wordings that no grammar lists as a whole."""
+    slots = ["Order #ORDER_NUMBER# came fast.", "Dear {{guest}}, nice.", "Your parcel ${tracking.id} left.", "Sincerely, [Company Name]", "Thanks, [Insert Signature Here]", "Product: NaN stars", "Ships to __COUNTRY__."]
+    filler = ["Sed ut perspiciatis unde omnis iste natus error sit voluptatem.", "Curabitur pretium tincidunt lacus, nulla gravida orci a odio.", "This is a placeholder text.", "Mustertext bitte ersetzen.", "kgahdggj sdekyjdgedhgdlihfhaashjjs"]
+    pages = ["This site can't be reached", "502 Proxy Error", "Whoops, looks like something went wrong.", "Session timed out. Please log in again.", "ModuleNotFoundError: No module named 'shop'", "Cette page n'existe plus."]
+    real = ["Ihr Browser ist egal, die Lampe leuchtet.", "Su navegador no importa, la radio funciona.", "404 not found is printed on the mug.", "Bitte versuchen Sie es selbst, es lohnt sich.", "very very very very good lamp", "She said __really__ good.",
+            "Fahrzeugkaufvertrag lag bei, Rückgabefrist lang.", "The sample text on the label was hard to read.", "Size [M] fits, colour <blue> too.", "MUY CONTENTO CON ESTA COMPRA (TIENDA)."]
+    kinds = ["slot"] * len(slots) + ["filler"] * len(filler) + ["message"] * len(pages) + [None] * len(real)
+    df = spark.createDataFrame(list(zip(range(99), slots + filler + pages + real)), "doc_id int, text string")
+    found = {r.doc_id: r.kinds for r in find_residue(df).collect()}
+    assert [(t, found.get(k)) for k, (kind, t) in enumerate(zip(kinds, slots + filler + pages + real)) if found.get(k) != ([kind] if kind else None)] == []
+
+
 def test_residue(spark):
     rows = [(k, kind, text) for k, (kind, text) in enumerate([*RESIDUE, *[(None, t) for t in REAL]])]
     df = spark.createDataFrame(rows, "doc_id int, kind string, text string").withColumn("kinds", F.lit("clash"))

@@ -103,6 +103,22 @@ def plan(
     return [(p, w, r, int(at_hand.get(p, 0)), budgets[p]) for p, w, r in rows]
 
 
+def tree_targets(sizes: DataFrame, targets: DataFrame, source: str, above: Sequence[str]) -> DataFrame:
+    """Targets per source as targets per leaf of a tree ``(*above, source)``, for ``plan`` and ``select``.
+
+    ``sizes`` has ``source``, the columns ``above`` and ``tokens``; ``targets`` has ``source``, ``weight`` and
+    ``max_repeats``. A source's weight is parted over its leaves by the tokens they hold, so that each source
+    keeps its weight. A source without documents is one leaf, with what ``targets`` has of the columns
+    ``above``, else nulls, above it. There are as many rows as targets times the groups above that each occurs in.
+    """
+    held = sizes.where(F.col("tokens") > 0).groupBy(*above, source).agg(F.sum("tokens").alias("_m_held"))
+    known = {c: F.col(f"_m_{c}") if c in targets.columns else F.lit(None) for c in above}
+    mine = targets.select(source, "weight", "max_repeats", *[F.col(c).alias(f"_m_{c}") for c in above if c in targets.columns])
+    leaves = mine.join(held, source, "left")
+    share = F.coalesce(F.col("_m_held") / F.sum("_m_held").over(Window.partitionBy(source)), F.lit(1.0))
+    return leaves.select(*[F.coalesce(F.col(c), known[c]).alias(c) for c in above], source, (F.col("weight") * share).alias("weight"), "max_repeats")
+
+
 def select(
     documents: DataFrame, targets: DataFrame, levels: Sequence[str], total_tokens: int | None = None, seed: int = 20_240_601
 ) -> tuple[DataFrame, DataFrame]:

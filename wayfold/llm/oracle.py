@@ -28,6 +28,13 @@ ORACLE_SQL = {
     "p1_category_node": _percentiles("category, node_idx", "category, node_idx"),
     "p1_category_day": _percentiles("category, obs_date", "category, obs_date"),
     "p1_category": _percentiles("category", "category"),
+    "p1_category_sliced": _percentiles("category", "category"),
+    "p1_category_rounded": """
+SELECT category, count(*) AS values_n, true AS within
+FROM (SELECT DISTINCT obs_id, category, node_idx, obs_date, "values" FROM initialize_acc_var WHERE "values" IS NOT NULL AND NOT isnan("values")) GROUP BY category""",
+    "p6_checks": """
+SELECT pack_name AS pack, (SELECT count(*) FROM documents WHERE text <> '') AS items, 0 AS repeated, 0 AS overfull, 0 AS miscut, false AS wasteful FROM pack_sizes""",
+    "p7_checks": "SELECT source, true AS within_repeats, true AS on_budget, true AS share_or_all FROM mix_targets",
     "p1_month_from_days": _percentiles("category, CAST(date_trunc('month', obs_date) AS DATE) AS month", "category, month"),
     "p4_found": _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p4_terms": _TERMS + "SELECT term, occurrences, records, mark FROM m",

@@ -1,31 +1,33 @@
-"""Filling containers of fixed capacity: sum-of-squares packing, in shards.
+"""Filling containers of fixed capacity: sum-of-squares packing, in shards and rounds.
 
 Items of one capacity are cut into shards by a hash of their id; a shard is packed by one task in a
 stream of sizes: each item goes where the sum over all fill levels of the squared number of open
 containers at that level grows least. Containers that a shard leaves open and not well filled are emptied
-again and their items packed in a second round over fewer shards, so that the waste doesn't grow with the
-number of shards.
+again and their items packed in further rounds, in shards of the same size cut by another hash, so that the
+waste doesn't grow with the number of shards. Once what is left fits one shard, or a round improves little
+(as with items that no other fits), the containers stay as they are. No task ever holds more than a shard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.session import cut_lineage
 
-#: Items per shard; a task holds ids and sizes of one shard, some 24 bytes an item.
-ITEMS_PER_SHARD = 250_000
-#: Shards of the first round that share one shard in the second.
-FAN_IN = 64
-#: A container left open at the end of the first round stays if filled to this share.
+#: Items per shard on average; a task holds ids and sizes of one shard, some 24 bytes an item.
+ITEMS_PER_SHARD = 50_000
+#: A container left open at the end of a round stays if filled to this share.
 KEEP_FILL = 0.97
+#: A round that leaves more than this share of the items it got is the last.
+LEFT_SHARE = 0.9
 
 _NEVER = np.iinfo(np.int64).max
+_COLUMNS = ["pack", "capacity", "container", "item_id", "piece", "size"]
 
 
 def sum_of_squares(sizes: Sequence[int], capacity: int) -> np.ndarray:
@@ -80,53 +82,58 @@ def _pack_shard(keep_fill: float):
 
 
 def pieces(items: DataFrame, capacities: DataFrame) -> DataFrame:
-    """Items for each capacity: ``(pack, capacity, item_id, piece, size)``, cut only if larger than the capacity.
+    """Items for each capacity: ``(pack, capacity, item_id, number, piece, size)``, cut only if larger than the capacity.
 
-    ``items``: ``item_id`` bigint, ``size`` int; those without a size above 0 are left out. ``capacities``: ``pack``
-    string, ``capacity`` int above 0, a handful of rows. An item of size s above the capacity c makes
-    full pieces of c and one of the rest.
+    ``items``: ``item_id`` bigint, ``number`` bigint (of the row), ``size`` int; those without a size above 0 are
+    left out. ``capacities``: ``pack`` string, ``capacity`` int above 0, a handful of rows. An item of size s
+    above the capacity c makes full pieces of c and one of the rest.
     """
-    sized = items.where(F.col("size") > 0).select(F.col("item_id").cast("bigint"), F.col("size").cast("bigint").alias("whole"))
+    sized = items.where(F.col("size") > 0).select("item_id", "number", F.col("size").cast("bigint").alias("whole"))
     # as many rows as there are kinds of container
     offered = capacities.where(F.col("capacity") > 0).agg(
         F.collect_set(F.struct(F.col("pack"), F.col("capacity").cast("int").alias("capacity"))).alias("o")
     ).scalar()
-    cut = sized.select("item_id", "whole", F.inline(offered)).select(
-        "pack", "capacity", "item_id", "whole",
+    cut = sized.select("item_id", "number", "whole", F.inline(offered)).select(
+        "pack", "capacity", "item_id", "number", "whole",
         F.explode(F.sequence(F.lit(0), F.ceil(F.col("whole") / F.col("capacity")).cast("int") - 1)).alias("piece"),
     )
     rest = F.col("whole") - F.col("piece").cast("bigint") * F.col("capacity")
-    return cut.select("pack", "capacity", "item_id", "piece", F.least(rest, F.col("capacity").cast("bigint")).cast("int").alias("size"))
+    return cut.select("pack", "capacity", "item_id", "number", "piece", F.least(rest, F.col("capacity").cast("bigint")).cast("int").alias("size"))
 
 
 def pack(items: DataFrame, capacities: DataFrame, items_per_shard: int = ITEMS_PER_SHARD) -> DataFrame:
     """Each piece in exactly one container: ``(pack, capacity, container, item_id, piece, size)``.
 
-    Container ids are unique within a pack. Repeated items are placed once per row; ties and the order of
-    rows don't change the result's fill. No items, or no capacities, give no rows.
+    ``items``: ``item_id`` bigint, ``size`` int; other columns are left out. Container ids are unique within a
+    pack. Repeated items, and those without an id, are placed once per row. No items, or no capacities, give
+    no rows.
     """
-    schema = "pack string, capacity int, item_id bigint, piece int, size int, shard bigint, container bigint, final boolean"
-    cut = pieces(items, capacities)
-    # full pieces are containers of their own; equal ones of repeated items, or of items without an id, are numbered
-    alike = Window.partitionBy("pack", "item_id", "piece").orderBy("size")
-    whole = cut.where(F.col("size") == F.col("capacity")).withColumn("copy", F.row_number().over(alike))
-    loose = cut.where(F.col("size") < F.col("capacity"))
-    total = loose.groupBy("pack").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
-    shards = F.greatest(F.lit(1), F.ceil(total / F.lit(items_per_shard)))
-    by_hash = loose.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece"), shards).cast("bigint"))
-    first = cut_lineage(
-        by_hash.groupBy("pack", "shard").applyInPandas(_pack_shard(KEEP_FILL), schema)
-    )
-    kept = first.where("final")
-    again = first.where("not final").drop("container", "final").withColumn("shard", F.floor(F.col("shard") / FAN_IN))
-    second = again.groupBy("pack", "shard").applyInPandas(_pack_shard(0.0), schema)
+    schema = "pack string, capacity int, item_id bigint, number bigint, piece int, size int, shard bigint, container bigint, final boolean"
+    # rows are numbered once and for all: equal ones are told apart, and spread, by their numbers
+    rows = cut_lineage(items.select(F.col("item_id").cast("bigint"), "size", F.monotonically_increasing_id().alias("number")))
+    cut = pieces(rows, capacities)
     name = lambda kind, *parts: F.concat_ws("-", F.lit(kind), *parts)
-    columns = ["pack", "capacity", "container", "item_id", "piece", "size"]
-    return (
-        whole.withColumn("container", name("w", "item_id", "piece", "copy")).select(columns)
-        .unionByName(kept.withColumn("container", name("a", "shard", "container")).select(columns))
-        .unionByName(second.withColumn("container", name("b", "shard", "container")).select(columns))
-    )
+    # full pieces are containers of their own
+    packed = cut.where(F.col("size") == F.col("capacity")).withColumn("container", name("w", "number", "piece")).select(_COLUMNS)
+    loose, round_ = cut.where(F.col("size") < F.col("capacity")), 0
+    counts = {r[0] or "": r[1] for r in loose.groupBy("pack").count().collect()}  # one row per pack
+    of_pack = F.coalesce(F.col("pack"), F.lit(""))
+    while counts:
+        shards = {p: max(1, -(-n // items_per_shard)) for p, n in counts.items()}
+        last = max(shards.values()) == 1
+        cut_in = F.create_map(*[F.lit(x) for pair in shards.items() for x in pair])
+        shard = F.pmod(F.xxhash64("number", "piece", F.lit(round_)), cut_in[of_pack]).cast("bigint")
+        # a number of partitions of its own: the work of a shard is in its items, not its bytes
+        spread = loose.withColumn("shard", shard).repartition(sum(shards.values()), "pack", "shard")
+        done = cut_lineage(spread.groupBy("pack", "shard").applyInPandas(_pack_shard(0.0 if last else KEEP_FILL), schema))
+        left = {r[0] or "": r[1] for r in done.where("not final").groupBy("pack").count().collect()}
+        # packs that one more round wouldn't help keep their containers as they are
+        closed = [p for p, n in left.items() if n > LEFT_SHARE * counts[p]]
+        over = F.col("final") | of_pack.isin(closed)
+        packed = packed.unionByName(done.where(over).withColumn("container", name(f"r{round_}", "shard", "container")).select(_COLUMNS))
+        loose = done.where(~over).drop("shard", "container", "final")
+        counts, round_ = {p: n for p, n in left.items() if p not in closed}, round_ + 1
+    return packed
 
 
 def containers(packed: DataFrame) -> DataFrame:
@@ -147,3 +154,20 @@ def waste(packed: DataFrame) -> DataFrame:
         .withColumn("unused_share", F.col("unused") / (F.col("tokens") + F.col("unused")))
         .withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity")))
     )
+
+
+def flaws(packed: DataFrame) -> DataFrame:
+    """What must not be, counted per pack: ``(pack, items, repeated, overfull, miscut, wasteful)``.
+
+    ``items`` distinct ids placed; ``repeated`` pieces placed more than once; ``overfull`` containers beyond the
+    capacity; ``miscut`` items whose pieces, but for one, aren't full; ``wasteful``: more containers than
+    the bound of first-fit in order of falling size, 11/9 of the least number plus 1.
+    """
+    each = packed.groupBy("pack", "capacity", "item_id", "piece").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
+    by_item = each.groupBy("pack", "item_id").agg(F.sum(F.col("n") - 1).alias("again"), F.sum((F.col("size") < F.col("capacity")).cast("int")).alias("partial"))
+    of_items = by_item.groupBy("pack").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("again").alias("repeated"), F.sum((F.col("partial") > 1).cast("bigint")).alias("miscut")
+    )
+    overfull = containers(packed).groupBy("pack").agg(F.sum((F.col("unused") < 0).cast("bigint")).alias("overfull"))
+    wasteful = waste(packed).select("pack", (F.col("containers") * 9 > F.col("least_containers") * 11 + 9).alias("wasteful"))
+    return of_items.join(overfull, "pack").join(wasteful, "pack").select("pack", "items", "repeated", "overfull", "miscut", "wasteful")

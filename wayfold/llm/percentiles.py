@@ -5,10 +5,11 @@ they are the state that is kept and combined; percentiles of any union of pieces
 counts without error. With ``digits`` set, values are first rounded to so many significant digits, which
 bounds the state of a group and the relative error of every percentile by ``0.5 * 10 ** (1 - digits)``.
 
-Ranks are found by a range sort: counts are range-partitioned by group, and large groups by group and
-slice of their values, so that they spread over many partitions. Running sums are taken within a slice;
-the offset of a slice is the sum of the slices before it, from one small row per group and slice. The
-first value whose cumulative count reaches the target rank is the percentile.
+Ranks are found by a range sort: counts are range-partitioned by group and slice of the group's values.
+Most groups are one slice; those with very many counts are cut at their approximate quantiles, so that
+they spread over many partitions. Running sums are taken within a slice; the offset of a slice is the sum
+of the slices before it, from one small row per slice of a cut group. The first value whose cumulative
+count reaches the target rank is the percentile. All groups take the same way.
 """
 
 from __future__ import annotations
@@ -23,12 +24,17 @@ from wayfold.operators.skew import hot_keys, key_hash
 #: Percentiles as whole thousandths, so that target ranks are exact integers.
 PER_MILLE = (10, 50, 250, 500, 750, 950, 990)
 
-#: A group with more counts than this is cut into slices.
+#: Counts from which a group is cut into slices.
 ROWS_PER_SLICE = 200_000
-#: Slices of a large group; a power of two.
+#: Slices of a cut group; a power of two.
 SLICES = 128
 
 
+def relative_error(digits: int) -> float:
+    """The most by which rounding to so many significant digits changes a value, relative to it."""
+    return 0.5 * 10.0 ** (1 - digits)
+
+
 def _rounded(value: Column, digits: int | None) -> Column:
     if digits is None:
         return value
@@ -69,26 +75,61 @@ def merge_counts(counts: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def percentiles(
-    counts: DataFrame, group: Sequence[str], per_mille: Sequence[int] = PER_MILLE
+    counts: DataFrame, group: Sequence[str], per_mille: Sequence[int] = PER_MILLE, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """``(*group, values_n, p010, p050, ...)``: for each p the least value whose cumulative count reaches p.
 
     The target rank of p thousandths among n values is ``ceil(n * p / 1000)``, at least 1: the percentile
     is always one of the values (no interpolation). ``counts`` as from ``value_counts`` or ``merge_counts``.
+    ``rows_per_slice`` balances the work and changes no result.
     """
     if not per_mille or any(not 0 <= p <= 1000 for p in per_mille):
         raise ValueError("per_mille must be from 0 to 1000")
     group = list(group)
     keys = [F.col(g) for g in group] or [F.lit(0)]
-    hot = hot_keys(counts, keys, ROWS_PER_SLICE)
-    flagged = counts.withColumn("_v_h", key_hash(keys)).join(F.broadcast(hot), F.col("_v_h") == F.col("hot_hash"), "left")
-    # at most MAX_HOT_KEYS groups are large; each of the others fits a task
-    large = flagged.where(F.col("hot_hash").isNotNull()).select(*group, "value", "n")
-    small = flagged.where(F.col("hot_hash").isNull()).select(*group, "value", "n")
-    return _of_small(small, group, per_mille).unionByName(_of_large(large, group, per_mille))
+    hot = hot_keys(counts, keys, rows_per_slice)
+    # the first group columns of cut groups and their bounds: as many rows as hot keys, of SLICES numbers
+    flagged = counts.withColumn("_v_h", key_hash(keys))
+    cut = flagged.join(F.broadcast(hot.select(F.col("hot_hash").alias("_v_h"))), "_v_h", "left_semi")
+    shares = [i / SLICES for i in range(1, SLICES)]
+    bounds = cut.groupBy("_v_h").agg(F.percentile_approx("value", shares, 10 * SLICES).alias("_v_bounds"))
+    sliced = flagged.join(F.broadcast(bounds), "_v_h", "left").withColumn("_v_slice", F.lit(0))
+    step = SLICES // 2
+    while step:  # binary search for the number of bounds below the value
+        below = F.get("_v_bounds", F.col("_v_slice") + (step - 1)) < F.col("value")
+        sliced = sliced.withColumn("_v_slice", F.col("_v_slice") + F.when(below, step).otherwise(0))
+        step //= 2
+    sliced = sliced.select(*group, "value", "n", "_v_h", F.col("_v_bounds").isNotNull().alias("_v_cut"), "_v_slice")
+    parts = [*group, "_v_slice"]
+    # ranges of the slices satisfy the windows and, for whole groups, the last aggregation: no further shuffle
+    ranged = sliced.repartitionByRange(*[F.col(c) for c in parts])
+    in_slice = Window.partitionBy(*parts)
+    running = in_slice.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.select("*", F.sum("n").over(running).alias("_v_run"), F.sum("n").over(in_slice).alias("_v_sum"))
+    offsets = _offsets(sliced.where("_v_cut"), group, parts)
+    same = F.lit(True)
+    for c in parts:
+        same = same & F.col(f"c.{c}").eqNullSafe(F.col(f"o.{c}"))
+    # at most hot keys times SLICES rows
+    cumulated = summed.alias("c").join(F.broadcast(offsets).alias("o"), F.col("c._v_cut") & same, "left").select(
+        *[F.col(f"c.{g}") for g in group], "c.value", "c.n",
+        (F.col("c._v_run") + F.coalesce(F.col("o._v_offset"), F.lit(0))).alias("cum"), F.coalesce(F.col("o._v_total"), F.col("c._v_sum")).alias("total"),
+    )
+    return _first_at_rank(cumulated, group, per_mille)
+
+
+def _offsets(cut: DataFrame, group: list[str], parts: list[str]) -> DataFrame:
+    """``(*parts, _v_offset, _v_total)``: what the slices before each slice of a cut group hold, and all of them."""
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_v_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        cut.groupBy(*parts).agg(F.sum("n").alias("_v_n"))
+        .select(*parts, F.coalesce(F.sum("_v_n").over(before), F.lit(0)).alias("_v_offset"), F.sum("_v_n").over(whole).alias("_v_total"))
+    )
 
 
-def _named(per_mille: int) -> str:
+def named(per_mille: int) -> str:
+    """Name of the column of a percentile."""
     return f"p{per_mille // 10:02d}" if per_mille % 10 == 0 else f"p{per_mille:03d}m"
 
 
@@ -100,53 +141,5 @@ def _first_at_rank(cumulated: DataFrame, group: list[str], per_mille: Sequence[i
     for hit in reaches.values():
         any_target = any_target | hit
     return cumulated.where(any_target).groupBy(*group).agg(
-        F.max("total").alias("values_n"), *[F.max(F.when(hit, F.col("value"))).alias(_named(p)) for p, hit in reaches.items()]
+        F.max("total").alias("values_n"), *[F.max(F.when(hit, F.col("value"))).alias(named(p)) for p, hit in reaches.items()]
     )
-
-
-def _of_small(counts: DataFrame, group: list[str], per_mille: Sequence[int]) -> DataFrame:
-    whole = Window.partitionBy(*group)
-    running = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # ranges of the group satisfy the windows and the last aggregation: no further shuffle
-    ranged = counts.repartitionByRange(*[F.col(g) for g in group]) if group else counts
-    return _first_at_rank(
-        ranged.select("*", F.sum("n").over(running).alias("cum"), F.sum("n").over(whole).alias("total")), group, per_mille
-    )
-
-
-def _same_group(left: str, right: str, group: list[str], *more: str) -> Column:
-    same = F.lit(True)
-    for g in [*group, *more]:
-        same = same & F.col(f"{left}.{g}").eqNullSafe(F.col(f"{right}.{g}"))
-    return same
-
-
-def _of_large(counts: DataFrame, group: list[str], per_mille: Sequence[int]) -> DataFrame:
-    # bounds of slices with about as many counts each; they only balance the work and don't touch the result
-    shares = [i / SLICES for i in range(1, SLICES)]
-    bounds = counts.groupBy(*group).agg(F.percentile_approx("value", shares, 10 * SLICES).alias("_v_bounds"))
-    # at most MAX_HOT_KEYS rows of SLICES numbers
-    sliced = counts.alias("c").join(F.broadcast(bounds).alias("b"), _same_group("c", "b", group)).select(
-        *[F.col(f"c.{g}") for g in group], "c.value", "c.n", "b._v_bounds", F.lit(0).alias("_v_slice")
-    )
-    step = SLICES // 2
-    while step:  # binary search for the number of bounds below the value
-        below = F.get("_v_bounds", F.col("_v_slice") + (step - 1)) < F.col("value")
-        sliced = sliced.withColumn("_v_slice", F.col("_v_slice") + F.when(below, step).otherwise(0))
-        step //= 2
-    parts = [*group, "_v_slice"]
-    ranged = sliced.drop("_v_bounds").repartitionByRange(*[F.col(c) for c in parts])
-    running = Window.partitionBy(*parts).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_slice = ranged.withColumn("_v_run", F.sum("n").over(running))
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("_v_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*parts)
-        .agg(F.sum("n").alias("_v_sum"))
-        .select(*parts, F.coalesce(F.sum("_v_sum").over(before), F.lit(0)).alias("_v_offset"), F.sum("_v_sum").over(whole).alias("total"))
-    )
-    # at most MAX_HOT_KEYS * SLICES rows
-    cumulated = in_slice.alias("c").join(F.broadcast(offsets).alias("o"), _same_group("c", "o", group, "_v_slice")).select(
-        *[F.col(f"c.{g}") for g in group], "c.value", "c.n", (F.col("c._v_run") + F.col("o._v_offset")).alias("cum"), "o.total"
-    )
-    return _first_at_rank(cumulated, group, per_mille)
