@@ -3,6 +3,7 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -13,18 +14,26 @@ from wayfold.operators.aggregate import aggregate, low_connectivity_nodes, varia
 from wayfold.operators.nearest import nearest_pois, nearest_wide
 from wayfold.operators.network import Network
 from wayfold.operators.paths import UNREACHABLE, shortest_path_lengths, shortest_paths
-from wayfold.operators.reach import Graph, ReachCache, nodes_in_range, reach
+from wayfold.operators import tiles
+from wayfold.operators.graph import UNBOUNDED, Graph
+from wayfold.operators.reach import ReachCache, nodes_in_range, reach
 from wayfold.operators.snap import nearest_node
 from wayfold.operators.tables import (
     adjacency_counts, adjacency_matrix, binned, node_index, plot_data, reindex, resolve_ids,
 )
 
+# --- fixed values: the literal network and the results that belong to it ---
 NODES = [(k, float(k % 4 + 1), float(k // 4 + 1)) for k in range(12)]
 EDGES = list(
     zip([0, 4, 5, 6, 2, 2, 6, 10, 9, 7], [4, 5, 6, 2, 1, 3, 10, 9, 8, 11], [1.0] * 10, [float(t) for t in range(1, 11)])
 )
 
 
+@pytest.fixture(autouse=True)
+def small_tiles(monkeypatch):
+    monkeypatch.setattr(tiles, "TILE_NODES", 6)
+
+
 @pytest.fixture(scope="module")
 def grid(spark):
     return Network(
@@ -48,7 +57,7 @@ def costs(df, source):
     return {r["destination"]: r["cost"] // 1000 for r in df.where(F.col("source") == source).collect()}
 
 
-@pytest.mark.parametrize("strategy", ["arrow", "frontier"])
+@pytest.mark.parametrize("strategy", ["arrow", "tiles"])
 def test_reach(grid, oneway, strategy):
     expected = {0: 0, 4: 1, 5: 3, 6: 6, 2: 10, 10: 13, 1: 15, 3: 16, 9: 21, 8: 30}
     assert costs(reach(grid, None, "time", strategy=strategy), 0) == expected
@@ -89,6 +98,36 @@ def test_aggregates(grid, values, kind, decay, strategy):
     assert [found[k] for k in range(12)] == pytest.approx(AGGREGATES[kind, decay], rel=1e-4)
 
 
+@pytest.mark.parametrize(("kind", "decay"), [("sum", "exp"), ("med", "flat")])
+def test_aggregates_over_tiles(grid, values, kind, decay):
+    found = {r.node_id: r.value for r in aggregate(grid, values, 2, kind, decay, "distance", strategy="tiles").collect()}
+    assert [found[k] for k in range(12)] == pytest.approx(AGGREGATES[kind, decay], rel=1e-4)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_tiles_equal_one_graph(spark, monkeypatch, kind):
+    monkeypatch.setattr(tiles, "TILE_NODES", 20)
+    rng = random.Random(12)
+    name = (lambda k: 2**60 + k) if kind == "bigint" else (lambda k: f"n{k:03}")  # ids that floats can't hold
+    nodes = [(name(k), rng.uniform(0, 9) if k % 9 else None, float(k % 7)) for k in range(60)]
+    edges = [(name(a), name((a + rng.choice([1, 1, 2, 30])) % 63), rng.choice([0.0, 1.0, 2.5])) for a in range(60) for _ in range(2)]
+    network = Network(
+        spark.createDataFrame(nodes, f"node_id {kind}, x double, y double"), spark.createDataFrame(edges, f"from {kind}, to {kind}, w double"), twoway=False
+    )
+    assert tiles.Tiling.of(network, None, False).tiles == 3
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(reach(network, 4.0, strategy="tiles")) == rows(reach(network, 4.0, strategy="arrow"))
+    points = network.node_ids.where(F.xxhash64("node_id") % 4 == 0).withColumn("poi_id", F.xxhash64("node_id"))
+    assert rows(nearest_pois(network, points, 6.0, 3, strategy="tiles")) == rows(nearest_pois(network, points, 6.0, 3))
+    values = points.select("node_id", (F.col("poi_id") % 100).cast("double").alias("value"))
+    for how in ("mean", "75pct") if kind == "bigint" else ():
+        apart = aggregate(network, values, 5.0, how, strategy="tiles").select("node_id", F.round("value", 6))
+        assert rows(apart) == rows(aggregate(network, values, 5.0, how, strategy="arrow").select("node_id", F.round("value", 6)))
+    pairs = spark.createDataFrame([(name(rng.randrange(60)), name(rng.randrange(62))) for _ in range(20)], f"origin {kind}, destination {kind}")
+    assert rows(shortest_path_lengths(network, pairs, strategy="tiles")) == rows(shortest_path_lengths(network, pairs))
+    assert rows(shortest_paths(network, pairs.limit(3), strategy="tiles")) == rows(shortest_paths(network, pairs.limit(3)))
+
+
 def test_aggregate_without_values_and_at_radius_zero(spark, grid, values):
     none = spark.createDataFrame([], "node_id bigint, value double")
     assert {r.value for r in aggregate(grid, none, 2, "sum", impedance="distance").collect()} == {0.0}
@@ -107,7 +146,7 @@ def test_aggregate_counts_nodes_without_edges(spark):
     nodes = spark.createDataFrame([(k, 0.0, 0.0) for k in range(4)], "node_id bigint, x double, y double")
     network = Network(nodes, spark.createDataFrame([(0, 1, 1.0)], "from bigint, to bigint, w double"))
     values = spark.createDataFrame([(2, 5.0), (2, 7.0), (1, 3.0)], "node_id bigint, value double")
-    for strategy in ("auto", "join"):
+    for strategy in ("auto", "tiles", "join"):
         for kind, expected in (("sum", [3, 3, 12, 0]), ("median", [3, 3, 7, -1]), ("std", [0, 0, 1, 0])):
             found = {r.node_id: r.value for r in aggregate(network, values, 1, kind, "flat", strategy=strategy).collect()}
             assert [found[k] for k in range(4)] == pytest.approx(expected)
@@ -133,9 +172,10 @@ def test_low_connectivity_and_range(spark, grid):
     assert nodes_in_range(grid, sources.limit(0), 2, "distance").count() == 0
 
 
-def test_nearest(spark, grid):
+@pytest.mark.parametrize("strategy", ["auto", "tiles"])
+def test_nearest(spark, grid, strategy):
     pois = spark.createDataFrame([(5, "a"), (5, "b"), (10, "c"), (11, "d"), (None, "e"), (99, "f")], "node_id bigint, poi_id string")
-    found = nearest_pois(grid, pois, 3, 3, "distance")
+    found = nearest_pois(grid, pois, 3, 3, "distance", strategy=strategy)
     by_node = {}
     for r in found.orderBy("node_id", "rank").collect():
         by_node.setdefault(r.node_id, []).append((r.poi_id, r.distance))
@@ -143,13 +183,13 @@ def test_nearest(spark, grid):
     assert by_node[9] == [("c", 1), ("a", 3), ("b", 3)]
     assert by_node[6] == [("a", 1), ("b", 1), ("c", 1)]
     assert by_node[7] == [("d", 1)] and by_node[8] == [("c", 2)]
-    one = {(r.node_id, r.distance, r.poi_id) for r in nearest_pois(grid, pois, 3, 1, "distance").collect()}
+    one = {(r.node_id, r.distance, r.poi_id) for r in nearest_pois(grid, pois, 3, 1, "distance", strategy=strategy).collect()}
     assert one == {(n, d[0][1], d[0][0]) for n, d in by_node.items()}
     wide = {r.node_id: tuple(r)[1:] for r in nearest_wide(grid, found, 3, 2000, True).collect()}
     assert wide[0] == (2.0, 2.0, 2000.0, "a", "b", None) and wide[7] == (1.0, 2000.0, 2000.0, "d", None, None)
     with pytest.raises(ValueError):
         nearest_pois(grid, pois, 3, 11, "distance", max_items=10)
-    assert nearest_pois(grid, pois.limit(0), 3, 2, "distance").count() == 0
+    assert nearest_pois(grid, pois.limit(0), 3, 2, "distance", strategy=strategy).count() == 0
 
 
 def test_nearest_of_many_points_at_a_node(spark, grid):
@@ -163,7 +203,7 @@ def test_nearest_of_many_points_at_a_node(spark, grid):
     assert "row_number(), 3, Partial" in found._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("strategy", ["auto", "frontier"])
+@pytest.mark.parametrize("strategy", ["auto", "tiles"])
 def test_routes(spark, grid, strategy):
     pairs = spark.createDataFrame([(0, 8, "r"), (0, 8, "s"), (3, 3, "t"), (0, 7, "u"), (None, 1, "v"), (0, 77, "w")], "origin bigint, destination bigint, tag string")
     lengths = {r.tag: r.length for r in shortest_path_lengths(grid, pairs, "time", strategy=strategy).collect()}
@@ -199,7 +239,7 @@ def test_edges_are_normalized(spark):
 def test_string_ids(spark):
     nodes = spark.createDataFrame([(f"n{k}", x, y) for k, x, y in NODES], "node_id string, x double, y double")
     edges = spark.createDataFrame([(f"n{a}", f"n{b}", d) for a, b, d, _ in EDGES], "from string, to string, w double")
-    for strategy in ("arrow", "frontier"):
+    for strategy in ("arrow", "tiles"):
         assert reach(Network(nodes, edges), 2, strategy=strategy).count() == 52
     pairs = spark.createDataFrame([("n0", "n8")], "origin string, destination string")
     assert shortest_paths(Network(nodes, edges), pairs).first().path[0] == "n0"
@@ -259,16 +299,13 @@ def dijkstra(arcs, start, radius):
 @settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8), st.integers(1, 9)), min_size=1, max_size=30), st.integers(0, 30))
 def test_search_equals_dijkstra(raw, radius):
-    import numpy as np
-    import pandas as pd
-
     cheapest = {}
     for a, b, w in raw:
         if a != b:
             cheapest[a, b] = min(w, cheapest.get((a, b), w))
     if not cheapest:
         return
-    graph = Graph(pd.DataFrame([(a, b, w) for (a, b), w in cheapest.items()], columns=["src", "dst", "cost"]))
+    graph = Graph(*np.array([(a, b, w) for (a, b), w in cheapest.items()]).T)
     arcs = {}
     for (a, b), w in cheapest.items():
         arcs.setdefault(a, []).append((b, w))
@@ -277,6 +314,19 @@ def test_search_equals_dijkstra(raw, radius):
     for k, n, c in zip(which, node, cost):
         found.setdefault(graph.ids[k], {})[graph.ids[n]] = c
     assert found == {s: dijkstra(arcs, s, radius) for s in graph.ids}
+    every = np.arange(len(graph.ids))
+    costs_of = graph.all_costs(every)
+    for s in every:
+        whole = dijkstra(arcs, graph.ids[s], 10**9)
+        assert {graph.ids[n]: c for n, c in enumerate(costs_of[:, s]) if c < UNBOUNDED} == whole
+    # the two nearest of some places, of which costs run from the place
+    places = every[::3]
+    node, place, cost = graph.nearest(places, 2, radius)
+    by_node = {}
+    for n, p, c in zip(node, place, cost):
+        by_node.setdefault(n, []).append((c, p))
+    expected = {n: sorted((found[graph.ids[p]][graph.ids[n]], p) for p in places if graph.ids[n] in found[graph.ids[p]])[:2] for n in every}
+    assert {n: sorted(v) for n, v in by_node.items()} == {n: v for n, v in expected.items() if v}
 
 
 def test_one_object_for_all(spark, grid, tmp_path):

@@ -36,6 +36,8 @@ class Network:
         self.drop_invalid = drop_invalid
         #: Broadcast graphs by impedance and direction, filled by the reach operators.
         self.graphs: dict = {}
+        #: Tiles of the graph by impedance and direction, filled likewise.
+        self.tiles: dict = {}
         self._arcs: dict[str, DataFrame] = {}
 
     @property
@@ -68,6 +70,21 @@ class Network:
             raise ValueError(f"unknown impedance {name!r}; known are {self.impedance_names}")
         return name
 
+    def all_arcs(self, impedance: str | None = None) -> DataFrame:
+        """``arcs`` before those at unknown nodes are left out."""
+        weight = F.col(f"`{self.impedance(impedance)}`").cast("double")
+        edges = self.edges_df.select(F.col("from").alias("src"), F.col("to").alias("dst"), weight.alias("w")).where(
+            F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst"))
+        )
+        if self.drop_invalid:
+            edges = edges.where(F.col("w").isNotNull() & ~F.isnan("w") & (F.col("w") >= 0))
+        if self.twoway:
+            ways: Column = F.inline(
+                F.array(F.struct(F.col("src"), F.col("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            )
+            edges = edges.select(ways, "w")
+        return edges.groupBy("src", "dst").agg(F.min(to_cost(F.col("w"))).alias("cost"))
+
     def arcs(self, impedance: str | None = None) -> DataFrame:
         """The directed graph ``(src, dst, cost)`` of an impedance, cost in thousandths.
 
@@ -75,21 +92,9 @@ class Network:
         """
         name = self.impedance(impedance)
         if name not in self._arcs:
-            weight = F.col(f"`{name}`").cast("double")
-            edges = self.edges_df.select(F.col("from").alias("src"), F.col("to").alias("dst"), weight.alias("w")).where(
-                F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst"))
-            )
-            if self.drop_invalid:
-                edges = edges.where(F.col("w").isNotNull() & ~F.isnan("w") & (F.col("w") >= 0))
-            if self.twoway:
-                ways: Column = F.inline(
-                    F.array(F.struct(F.col("src"), F.col("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-                )
-                edges = edges.select(ways, "w")
             ids = self.node_ids
             self._arcs[name] = (
-                edges.groupBy("src", "dst")
-                .agg(F.min(to_cost(F.col("w"))).alias("cost"))
+                self.all_arcs(name)
                 .join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi")
                 .join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
                 .select("src", "dst", "cost")

@@ -5,18 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.graph import UNBOUNDED, Graph, _repeated
 from wayfold.operators.network import Network
-from wayfold.operators.reach import _UNBOUNDED, Graph, broadcast_graph, reach
-from wayfold.session import cut_lineage
+from wayfold.operators.reach import broadcast_graph
+from wayfold.operators.tiles import Tiling
+from wayfold.session import cut_lineage, forget
 
 #: What a missing length is where a number is needed.
 UNREACHABLE = 4294967.295
-#: Origins that a task searches together, and pairs of them at a time.
-ORIGINS = 16
+#: Origins that a task searches together: in parts of the graph up to ``SWEPT`` nodes, and in larger ones.
+SWEPT_ORIGINS, ORIGINS = 512, 16
+SWEPT = 30_000
+#: Pairs that a task takes at a time.
+PAIRS = 200_000
 
 
 def _pairs(network: Network, pairs: DataFrame) -> DataFrame:
@@ -28,71 +33,130 @@ def _pairs(network: Network, pairs: DataFrame) -> DataFrame:
     )
 
 
-def _back(graph, node: np.ndarray, cost: np.ndarray, target: int, incoming) -> list[int]:
-    """The route to ``target``: at each step back, the smallest node from which the cost adds up."""
-    path = [int(target)]
-    at = int(np.searchsorted(node, target))
-    left = cost[at]
-    while left > 0:
-        lo, hi = incoming[0][path[-1]], incoming[0][path[-1] + 1]
-        before, arc = incoming[1][lo:hi], incoming[2][lo:hi]
-        place = np.minimum(np.searchsorted(node, before), len(node) - 1)
-        fits = (node[place] == before) & (cost[place] + arc == left)
-        step = int(np.argmax(fits))  # incoming arcs are sorted by their start
-        path.append(int(before[step]))
-        left = left - arc[step]
-    return path[::-1]
+def _costs(g: Graph, origins: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+    """For blocks of ``origins``: the positions of their pairs, and the labels as (function of node and origin in block, first origin).
+
+    ``owner`` and ``ends`` are the origin's position and the destination of each pair, by ascending owner.
+    """
+    small = len(g.ids) <= SWEPT
+    step = SWEPT_ORIGINS if small else ORIGINS
+    for k in range(0, len(origins), step):
+        starts = origins[k : k + step]
+        mine = np.arange(*np.searchsorted(owner, [k, k + len(starts)]))
+        if small:
+            labels = g.all_costs(starts)
+            yield mine, k, lambda node, of, labels=labels: labels[node, of]
+        else:
+            bounds = np.searchsorted(owner[mine], np.arange(k, k + len(starts) + 1))
+            targets = {p: ends[mine[bounds[p] : bounds[p + 1]]] for p in range(len(starts))}
+            which, node, found = g.search(starts, UNBOUNDED, targets)
+            key = which * len(g.ids) + node
+
+            def at(node: np.ndarray, of: np.ndarray, key=key, found=found) -> np.ndarray:
+                wanted = of * len(g.ids) + node
+                place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                return np.where(key[place] == wanted, found[place], UNBOUNDED)
+
+            yield mine, k, at
+
+
+def _back(incoming: tuple, at, ends: np.ndarray, of: np.ndarray, cost: np.ndarray) -> list[np.ndarray]:
+    """Routes to ``ends``, backwards: of all pairs at once, at each step the smallest node from which the cost adds up."""
+    head, src, arc_cost = incoming
+    steps, node, left, active = [ends.copy()], ends.copy(), cost.copy(), np.flatnonzero(cost > 0)
+    while len(active):
+        which, arc = _repeated(head[node[active]], head[node[active] + 1] - head[node[active]])
+        pair = active[which]
+        fits = at(src[arc], of[pair]) + arc_cost[arc] == left[pair]
+        which, arc = which[fits], arc[fits]
+        # incoming arcs are sorted by their start, so the first that fits is the smallest
+        first = np.ones(len(which), bool)
+        first[1:] = which[1:] != which[:-1]
+        which, arc = which[first], arc[first]
+        node[active[which]], left[active[which]] = src[arc], left[active[which]] - arc_cost[arc]
+        step = np.full(len(ends), -1, np.int64)
+        step[active] = node[active]
+        steps.append(step)
+        active = active[left[active] > 0]
+    whole = np.stack(steps)
+    return [column[column >= 0][::-1] for column in whole.T]
+
+
+def _parted(network: Network, pairs: DataFrame, impedance: str | None, graph) -> DataFrame:
+    """The pairs whose ends lie in one part of the graph: ``(part, origin, destination)`` as numbers of nodes."""
+    name = network.impedance(impedance)
+    if (name, "parts") not in network.graphs:
+        network.graphs[name, "parts"] = network.spark.sparkContext.broadcast(Graph.of(graph.value).parts())
+    parts = network.graphs[name, "parts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, part = Graph.of(graph.value), parts.value
+        for batch in batches:
+            a, b = (g.numbers(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("origin", "destination"))
+            ok = (a >= 0) & (b >= 0)
+            ok[ok] = part[a[ok]] == part[b[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok], pa.int64()) for x in (part[a], a, b)] if ok.any() else [pa.array([], pa.int64())] * 3, names=["part", "a", "b"])
+
+    return pairs.select("origin", "destination").mapInArrow(run, "part bigint, a bigint, b bigint")
 
 
 def _search(network: Network, pairs: DataFrame, impedance: str | None, graph, routes: bool) -> DataFrame:
+    """``(origin, destination, cost)``, and ``path`` if wanted, of the pairs with a way between them."""
     kind = network.id_type
+    out = pa.int64() if kind == "bigint" else pa.string()
+
+    def answer(g: Graph, part: np.ndarray, a: np.ndarray, b: np.ndarray, nodes_of) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((b, a, part))
+        part, a, b = part[order], a[order], b[order]
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            own = g.within(nodes_of(part[lo]))
+            origins, owner = np.unique(np.searchsorted(own.ids, a[lo:hi]), return_inverse=True)
+            ends = np.searchsorted(own.ids, b[lo:hi])
+            incoming = own.incoming() if routes else None
+            for mine, k, at in _costs(own, origins, owner, ends):
+                of = owner[mine] - k
+                cost = at(ends[mine], of)
+                way = cost < UNBOUNDED
+                mine, of, cost = mine[way], of[way], cost[way]
+                columns = [pa.array(g.ids[own.ids[origins[owner[mine]]]], out), pa.array(g.ids[own.ids[ends[mine]]], out), pa.array(cost, pa.int64())]
+                if routes:
+                    paths = _back(incoming, at, ends[mine], of, cost)
+                    offsets = np.append(0, np.cumsum([len(p) for p in paths])).astype(np.int32)
+                    steps = g.ids[own.ids[np.concatenate(paths)]] if paths else g.ids[:0]
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(steps, out)))
+                yield pa.RecordBatch.from_arrays(columns, names=["origin", "destination", "cost", "path"][: len(columns)])
 
-    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = _parted(network, pairs, impedance, graph)
+    labels = network.graphs[network.impedance(impedance), "parts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Graph.of(graph.value)
-        incoming = None
-        for block in blocks:
-            block = block.sort_values("origin", kind="stable")
-            origins, group = np.unique(block["origin"].to_numpy(), return_inverse=True)
-            for k in range(0, len(origins), ORIGINS):
-                part = block[(group >= k) & (group < k + ORIGINS)]
-                ids = origins[k : k + ORIGINS]
-                number = g.numbers(ids)
-                ends = g.numbers(part["destination"].to_numpy())
-                owner = np.searchsorted(ids, part["origin"].to_numpy())
-                ok = (number[owner] >= 0) & (ends >= 0)
-                targets = {}
-                starts, position = np.unique(owner[ok], return_inverse=True)
-                for p in range(len(starts)):
-                    targets[p] = ends[ok][position == p]
-                cost, path = np.full(len(part), -1, np.int64), [None] * len(part)
-                if len(starts):
-                    which, node, found = g.search(number[starts], _UNBOUNDED, targets)
-                    rows = np.flatnonzero(ok)
-                    for p in range(len(starts)):
-                        lo, hi = np.searchsorted(which, [p, p + 1])
-                        mine = rows[position == p]
-                        at = lo + np.minimum(np.searchsorted(node[lo:hi], ends[mine]), hi - lo - 1)
-                        hit = node[at] == ends[mine]
-                        cost[mine[hit]] = found[at[hit]]
-                        if routes:
-                            if incoming is None:
-                                src = np.repeat(np.arange(len(g.ids)), np.diff(g.head))
-                                order = np.lexsort((src, g.dst))
-                                incoming = (np.searchsorted(g.dst[order], np.arange(len(g.ids) + 1)), src[order], g.cost[order])
-                            for r in mine[hit]:
-                                steps = _back(g, node[lo:hi], found[lo:hi], ends[r], incoming)
-                                path[r] = [g.ids[s] for s in steps]
-                same = part["origin"].to_numpy() == part["destination"].to_numpy()
-                cost[same] = 0
-                out = part[["origin", "destination"]].assign(cost=pd.array(np.where(cost < 0, 0, cost), dtype="Int64"))
-                out.loc[cost < 0, "cost"] = pd.NA
-                if routes:
-                    out["path"] = [[o] if s else p for o, s, p in zip(part["origin"], same, path)]
-                yield out
+        order = np.argsort(labels.value, kind="stable")
+        sorted_labels = labels.value[order]
+
+        def nodes_of(part: int) -> np.ndarray:
+            return order[slice(*np.searchsorted(sorted_labels, [part, part + 1]))]
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("part", "a", "b")])
+            rows += batch.num_rows
+            if rows >= PAIRS:
+                yield from answer(g, *(np.concatenate(c) for c in zip(*held)), nodes_of)
+                held, rows = [], 0
+        if rows:
+            yield from answer(g, *(np.concatenate(c) for c in zip(*held)), nodes_of)
 
     schema = f"origin {kind}, destination {kind}, cost bigint" + (f", path array<{kind}>" if routes else "")
-    # pairs of one origin are searched together
-    return pairs.repartition("origin").mapInPandas(run, schema)
+    # pairs of one part, and of one origin, are searched together; a part with very many is cut
+    tasks = 2 * network.spark.sparkContext.defaultParallelism
+    found = parts.repartitionByRange(tasks, "part", "a").mapInArrow(run, schema)
+    same = pairs.where(F.col("origin") == F.col("destination")).select(
+        "origin", "destination", F.lit(0).cast("bigint").alias("cost"), *([F.array("origin").alias("path")] if routes else [])
+    )
+    # a node without arcs is no part of the graph but has a way to itself
+    return found.where(F.col("origin") != F.col("destination")).unionByName(same)
 
 
 def shortest_path_lengths(
@@ -107,12 +171,8 @@ def shortest_path_lengths(
     if "length" in pairs.columns:
         raise ValueError("pairs already have a column length")
     wanted = _pairs(network, pairs)
-    graph = None if strategy == "frontier" else broadcast_graph(network, impedance)
-    if graph is not None:
-        found = _search(network, wanted, impedance, graph, routes=False)
-    else:
-        everything = reach(network, None, impedance, wanted.select(F.col("origin").alias("node_id")), "frontier")
-        found = wanted.join(everything.withColumnRenamed("source", "origin"), ["origin", "destination"])
+    graph = broadcast_graph(network, impedance, strategy=strategy)
+    found = _by_tiles(network, wanted, impedance)[0] if graph is None else _search(network, wanted, impedance, graph, routes=False)
     length = F.col("cost") / 1000.0
     return pairs.join(found.select("origin", "destination", length.alias("length")), ["origin", "destination"], "left").select(
         *[F.col(f"`{c}`") for c in pairs.columns],
@@ -127,7 +187,7 @@ def shortest_paths(network: Network, pairs: DataFrame, impedance: str | None = N
     one is taken that, going backwards, always comes from the smallest node.
     """
     wanted = _pairs(network, pairs)
-    graph = None if strategy == "frontier" else broadcast_graph(network, impedance)
+    graph = broadcast_graph(network, impedance, strategy=strategy)
     if graph is not None:
         found = _search(network, wanted, impedance, graph, routes=True).select("origin", "destination", "path")
     else:
@@ -138,26 +198,44 @@ def shortest_paths(network: Network, pairs: DataFrame, impedance: str | None = N
     )
 
 
+def _by_tiles(network: Network, wanted: DataFrame, impedance: str | None) -> tuple[DataFrame, DataFrame]:
+    """``(origin, destination, cost)`` of the pairs with a way, and the labels they come from, of origins that enter tiles."""
+    tiling, kind = Tiling.of(network, impedance, False), network.id_type
+    origins = wanted.select(F.col("origin").alias("node_id")).distinct().join(tiling.nodes, "node_id")
+    start = origins.select(F.col("node_id").alias("home"), "tile", F.col("node_id").alias("node"), F.lit(0).cast("bigint").alias("cost"))
+    entries = tiling.entries(start, UNBOUNDED, kind)
+    asked = wanted.select(F.col("origin").alias("home"), F.col("destination").alias("node"))
+    found = tiling.labels(entries, asked, None, kind)
+    return found.select(F.col("home").alias("origin"), F.col("node").alias("destination"), "cost"), entries
+
+
 def _backtrack(network: Network, wanted: DataFrame, impedance: str | None) -> DataFrame:
-    """Routes by joins alone: one step back in each round, for all pairs at once."""
-    dist = cut_lineage(reach(network, None, impedance, wanted.select(F.col("origin").alias("node_id")), "frontier"))
+    """Routes by joins alone: one step back in each round, for all pairs at once.
+
+    Labels are kept up to the cost of an origin's dearest destination.
+    """
+    lengths, entries = _by_tiles(network, wanted, impedance)
+    reachable = cut_lineage(lengths)
+    most = reachable.groupBy(F.col("origin").alias("home")).agg(F.max("cost").alias("most"))
+    dist = cut_lineage(Tiling.of(network, impedance, False).labels(entries, None, most, network.id_type))
     arcs = network.arcs(impedance)
-    here = dist.select(F.col("source").alias("origin"), F.col("destination").alias("dst"), F.col("cost").alias("there"))
-    before = dist.select(F.col("source").alias("origin"), F.col("destination").alias("src"), F.col("cost").alias("so_far"))
+    here = dist.select(F.col("home").alias("origin"), F.col("node").alias("dst"), F.col("cost").alias("there"))
+    before = dist.select(F.col("home").alias("origin"), F.col("node").alias("src"), F.col("cost").alias("so_far"))
     steps = cut_lineage(
         here.join(arcs, "dst").join(before, ["origin", "src"])
         .where(F.col("so_far") + F.col("cost") == F.col("there"))
         .groupBy("origin", "dst").agg(F.min("src").alias("src"))
     )
-    reachable = wanted.join(here.withColumnRenamed("dst", "destination"), ["origin", "destination"], "left_semi")
+    forget(dist)
     open_ = cut_lineage(reachable.select("origin", "destination", F.col("destination").alias("dst"), F.array("destination").alias("path")))
     done = open_.where(F.col("dst") == F.col("origin"))
     while True:
-        open_ = cut_lineage(
+        further = cut_lineage(
             open_.where(F.col("dst") != F.col("origin")).join(steps, ["origin", "dst"]).select(
                 "origin", "destination", F.col("src").alias("dst"), F.concat(F.array("src"), "path").alias("path")
             )
         )
-        if open_.isEmpty():
+        if further.isEmpty():
             return done.select("origin", "destination", "path")
-        done = cut_lineage(done.unionByName(open_.where(F.col("dst") == F.col("origin"))))
+        # what is done stays where it was written, one part for each length
+        done, open_ = done.unionByName(further.where(F.col("dst") == F.col("origin"))), further

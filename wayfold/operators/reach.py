@@ -2,173 +2,93 @@
 
 Bounded shortest paths from many sources at once. Two strategies give the same rows:
 
-* ``frontier``: joins and aggregations in rounds. Each round extends the labels improved last by one arc and
-  keeps the cheapest per source and destination; nothing is held on the driver, and lineage is cut in the
-  shared checkpoint folder. For graphs of any size.
-* ``arrow``: for graphs whose arcs are counted and found to fit a broadcast. Sources are spread over tasks,
-  each relaxes the labels of a block of sources against the graph in compressed rows.
+* ``tiles``: for graphs of any size. The graph is cut into tiles; each is sent the part around it that it can
+  reach, and its sources are searched there (see ``operators.tiles``).
+* ``arrow``: for graphs whose arcs are counted and found to fit a broadcast, which spares the tiles' shuffles.
+  Sources are spread over tasks, each relaxes the labels of a block of sources.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.units import radius_cost
+from wayfold.operators.graph import UNBOUNDED, Graph
 from wayfold.operators.network import Network
-from wayfold.session import cut_lineage
+from wayfold.operators.tiles import Tiling
 
 #: Arcs up to which the graph is broadcast (16 bytes each in compressed rows).
 BROADCAST_ARCS = 4_000_000
-#: Sources that a task extends together, and labels (8 bytes each) it may hold for them.
-BLOCK = 512
-LABELS = 8_000_000
-_UNBOUNDED = 2**62
-
-
-class Graph:
-    """Arcs in compressed rows over dense numbers; ``ids`` are sorted, so numbers order like ids."""
-
-    def __init__(self, arcs: pd.DataFrame):
-        self.ids = np.unique(np.concatenate([arcs["src"].to_numpy(), arcs["dst"].to_numpy()]))
-        src, dst = np.searchsorted(self.ids, arcs["src"]), np.searchsorted(self.ids, arcs["dst"])
-        order = np.lexsort((dst, src))
-        self.head = np.searchsorted(src[order], np.arange(len(self.ids) + 1)).astype(np.int32)
-        self.dst = dst[order].astype(np.int32)
-        self.cost = arcs["cost"].to_numpy(np.int64)[order]
-
-    def numbers(self, ids: np.ndarray) -> np.ndarray:
-        """Dense numbers of ids; -1 for ids without arcs."""
-        if not len(self.ids):
-            return np.full(len(ids), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-        return np.where(self.ids[at] == ids, at, -1)
-
-    def expand(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each arc from each of ``node``: position in ``node``, and index of the arc."""
-        count = self.head[node + 1] - self.head[node]
-        which = np.repeat(np.arange(len(node)), count)
-        return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.head[node], count)
-
-    @property
-    def block(self) -> int:
-        """Sources to search together, so that a label per source and node fits ``LABELS``."""
-        return max(1, min(BLOCK, LABELS // max(len(self.ids), 1)))
-
-    @classmethod
-    def of(cls, parts: dict) -> Graph:
-        """A graph from the plain arrays that are broadcast."""
-        graph = cls.__new__(cls)
-        graph.__dict__.update(parts)
-        return graph
-
-    def search(self, starts: np.ndarray, radius: int, targets: dict[int, np.ndarray] | None = None):
-        """Cheapest costs from each start: arrays (position in starts, node, cost), sorted by the first two.
-
-        With ``targets`` (nodes by position) a start is not searched beyond its dearest target.
-        """
-        n = np.int64(max(len(self.ids), 1))
-        if getattr(self, "labels", None) is None or len(self.labels) < len(starts) * n:
-            self.labels = np.full(len(starts) * n, _UNBOUNDED + 1, np.int64)  # kept; only what is touched is reset
-        labels = self.labels
-        key = np.arange(len(starts), dtype=np.int64) * n + starts
-        labels[key] = 0
-        touched = [key]
-        bound = np.full(len(starts), radius, np.int64)
-        if targets:
-            wanted = np.concatenate([k * n + t for k, t in targets.items()])
-            owner = np.concatenate([np.full(len(t), k) for k, t in targets.items()])
-        while len(key):
-            which, arc = self.expand(key % n)
-            new_cost = labels[key][which] + self.cost[arc]
-            owner_of = key[which] // n
-            new_key = owner_of * n + self.dst[arc]
-            keep = (new_cost <= bound[owner_of]) & (new_cost < labels[new_key])
-            new_key = new_key[keep]
-            np.minimum.at(labels, new_key, new_cost[keep])
-            key = np.unique(new_key)
-            touched.append(key)
-            if targets:
-                bound[:] = 0
-                np.maximum.at(bound, owner, np.minimum(labels[wanted], radius))
-                key = key[labels[key] <= bound[key // n]]
-        reached = np.unique(np.concatenate(touched))
-        cost = labels[reached]
-        labels[reached] = _UNBOUNDED + 1
-        return reached // n, reached % n, cost
-
-
-def broadcast_graph(network: Network, impedance: str | None, reverse: bool = False):
-    """The graph as a broadcast variable if its arcs are few enough, else None; kept with the network."""
+STRATEGIES = ("auto", "arrow", "tiles")
+
+
+def broadcast_graph(network: Network, impedance: str | None, reverse: bool = False, strategy: str = "auto"):
+    """The graph as a broadcast variable if its arcs are few enough and the strategy allows, else None; kept with the network."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
+    if strategy == "tiles":
+        return None
     name = network.impedance(impedance)
     if (name, reverse) not in network.graphs:
-        arcs = network.arcs(name)
+        arcs = network.arcs(name).persist()
         graph = None
         if arcs.count() <= BROADCAST_ARCS:
-            local = arcs.toPandas()
-            if reverse:
-                local = local.rename(columns={"src": "dst", "dst": "src"})
-            graph = network.spark.sparkContext.broadcast(Graph(local).__dict__)
+            local = arcs.toArrow()
+            src, dst, cost = (local.column(c).to_numpy() for c in ("src", "dst", "cost"))
+            del local
+            graph = network.spark.sparkContext.broadcast(Graph(*((dst, src) if reverse else (src, dst)), cost).__dict__)
+        arcs.unpersist()
         network.graphs[name, reverse] = graph
+    if network.graphs[name, reverse] is None and strategy == "arrow":
+        raise ValueError(f"the graph has more than {BROADCAST_ARCS} arcs")
     return network.graphs[name, reverse]
 
 
-def _arrow(network: Network, sources: DataFrame, radius: int, graph) -> DataFrame:
-    kind = network.id_type
+def _reached(kind: str, limit: int) -> Callable:
     out = pa.int64() if kind == "bigint" else pa.string()
 
+    def work(graph: Graph, _values: dict, every: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(every), graph.block):
+            ids = every[k : k + graph.block]
+            number = graph.numbers(ids)
+            lone = ids[number < 0]
+            start, starts = ids[number >= 0], number[number >= 0]
+            which, node, cost = graph.search(starts, limit)
+            columns = (
+                np.concatenate([lone, start[which]]), np.concatenate([lone, graph.ids[node] if len(node) else start[which]]),
+                np.concatenate([np.zeros(len(lone), np.int64), cost]),
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], out), pa.array(columns[1], out), pa.array(columns[2], pa.int64())],
+                names=["source", "destination", "cost"],
+            )
+
+    return work
+
+
+def for_each_source(
+    network: Network, sources: DataFrame, limit: int, work: Callable, schema: str, graph, impedance: str | None = None,
+    reverse: bool = False, values: DataFrame | None = None, held=None,
+) -> DataFrame:
+    """``work(graph, values, sources)`` in tasks that hold a graph for their ``sources.source``.
+
+    With ``graph`` and ``held`` (broadcast variables) it is the whole graph and the whole values, else that of a tile.
+    """
+    if graph is None:
+        return Tiling.of(network, impedance, reverse).at_home(sources, limit, work, schema, values)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = Graph.of(graph.value)
+        g, v = Graph.of(graph.value), {} if held is None else held.value
         for batch in batches:
-            every = batch.column(0).to_numpy(zero_copy_only=False)
-            for k in range(0, len(every), g.block):
-                ids = every[k : k + g.block]
-                number = g.numbers(ids)
-                lone = ids[number < 0]
-                start, starts = ids[number >= 0], number[number >= 0]
-                which, node, cost = g.search(starts, radius)
-                columns = (
-                    np.concatenate([lone, start[which]]), np.concatenate([lone, g.ids[node] if len(node) else start[which]]),
-                    np.concatenate([np.zeros(len(lone), np.int64), cost]),
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], out), pa.array(columns[1], out), pa.array(columns[2], pa.int64())],
-                    names=["source", "destination", "cost"],
-                )
+            yield from work(g, v, batch.column(0).to_numpy(zero_copy_only=False))
 
     # one exchange spreads the sources, as a table of ids may be a single small file
-    spread = sources.repartition(network.spark.sparkContext.defaultParallelism)
-    return spread.mapInArrow(run, f"source {kind}, destination {kind}, cost bigint")
-
-
-def _frontier(sources: DataFrame, arcs: DataFrame, radius: int) -> DataFrame:
-    best = cut_lineage(
-        sources.select(F.col("source"), F.col("source").alias("destination"), F.lit(0).cast("bigint").alias("cost"), F.lit(True).alias("fresh"))
-    )
-    arcs = cut_lineage(arcs)
-    nothing = F.lit(None).cast("bigint")
-    while True:
-        found = (
-            best.where("fresh")
-            .join(arcs, F.col("destination") == F.col("src"))
-            .select("source", F.col("dst").alias("destination"), (best["cost"] + arcs["cost"]).alias("cost"), nothing.alias("so_far"))
-            .where(F.col("cost") <= radius)
-        )
-        # one shuffle per round both keeps the cheapest and tells which labels are new or cheaper
-        best = cut_lineage(
-            best.select("source", "destination", "cost", F.col("cost").alias("so_far"))
-            .unionByName(found)
-            .groupBy("source", "destination")
-            .agg(F.min("cost").alias("cost"), F.min("so_far").alias("so_far"))
-            .select("source", "destination", "cost", (F.col("so_far").isNull() | (F.col("cost") < F.col("so_far"))).alias("fresh"))
-        )
-        if best.where("fresh").isEmpty():
-            return best.select("source", "destination", "cost")
+    return sources.repartition(network.spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
 
 
 def reach(
@@ -181,22 +101,15 @@ def reach(
     count once. ``radius`` None searches without bound. ``reverse`` follows arcs backwards, so that cost is
     that from destination to source. ``cost`` is in thousandths of the impedance.
     """
-    limit = _UNBOUNDED if radius is None else radius_cost(radius)
+    limit = UNBOUNDED if radius is None else radius_cost(radius)
     ids = network.node_ids
     if sources is not None:
         ids = ids.join(sources.select("node_id").distinct(), "node_id", "left_semi")
-    start = ids.withColumnRenamed("node_id", "source")
-    if strategy not in ("auto", "arrow", "frontier"):
-        raise ValueError("strategy must be auto, arrow or frontier")
-    graph = None if strategy == "frontier" else broadcast_graph(network, impedance, reverse)
-    if graph is not None:
-        return _arrow(network, start, limit, graph)
-    if strategy == "arrow":
-        raise ValueError(f"the graph has more than {BROADCAST_ARCS} arcs")
-    arcs = network.arcs(impedance)
-    if reverse:
-        arcs = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")
-    return _frontier(start, arcs, limit)
+    graph = broadcast_graph(network, impedance, reverse, strategy)
+    kind = network.id_type
+    return for_each_source(
+        network, ids.withColumnRenamed("node_id", "source"), limit, _reached(kind, limit), f"source {kind}, destination {kind}, cost bigint", graph, impedance, reverse
+    )
 
 
 class ReachCache:
@@ -214,14 +127,18 @@ class ReachCache:
                 old.unpersist()
             held[radius_cost(radius)] = reach(self.network, radius, name).persist()
 
-    def reach(self, radius: float, impedance: str | None = None, sources: DataFrame | None = None) -> DataFrame:
-        """Reach of every node; if it has to be computed, of ``sources.source`` only, where given."""
+    def covering(self, radius: float, impedance: str | None = None) -> DataFrame | None:
+        """What was computed ahead for at least ``radius``, cut to it; None if nothing was."""
         name, limit = self.network.impedance(impedance), radius_cost(radius)
         fitting = [r for r in self._held.get(name, {}) if r >= limit]
-        if not fitting:
-            asked = None if sources is None else sources.select(F.col("source").alias("node_id"))
-            return reach(self.network, radius, name, asked)
-        return self._held[name][min(fitting)].where(F.col("cost") <= limit)
+        return self._held[name][min(fitting)].where(F.col("cost") <= limit) if fitting else None
+
+    def reach(self, radius: float, impedance: str | None = None, sources: DataFrame | None = None) -> DataFrame:
+        """Reach of every node; if it has to be computed, of ``sources.source`` only, where given."""
+        if (held := self.covering(radius, impedance)) is not None:
+            return held
+        asked = None if sources is None else sources.select(F.col("source").alias("node_id"))
+        return reach(self.network, radius, impedance, asked)
 
     def clear(self) -> None:
         for held in self._held.values():

@@ -275,7 +275,7 @@ _AGGREGATES = {
 
 QUERIES = {
     "arcs": arcs, "arcs_oneway": arcs_oneway, "reach": _reached(), "reach_arrow": _reached("arrow"),
-    "reach_frontier": _reached("frontier"), "reach_oneway": _reached(twoway=False), "reach_time": _reached(impedance="time"),
+    "reach_tiles": _reached("tiles"), "reach_oneway": _reached(twoway=False), "reach_time": _reached(impedance="time"),
     **{name: _aggregated(*how) for name, how in _AGGREGATES.items()},
     "agg_sum_time": _aggregated("sum", "flat", "time"), "agg_alias": _aggregated("MED"),
     "low_connectivity": low_connectivity, "nodes_in_range": q_nodes_in_range,
@@ -359,7 +359,7 @@ _STREET_REACH = (_STREET, _arcs_sql(edges="sedges"), _reach_sql(STREET_RADIUS, "
 ORACLE_SQL = {
     "arcs": _grid_sql(_arcs_sql()) + "SELECT * FROM arcs",
     "arcs_oneway": _grid_sql(_arcs_sql(twoway=False)) + "SELECT * FROM arcs",
-    **{n: _grid_sql(_arcs_sql(), _reach_sql(RADIUS)) + "SELECT * FROM reach" for n in ("reach", "reach_arrow", "reach_frontier")},
+    **{n: _grid_sql(_arcs_sql(), _reach_sql(RADIUS)) + "SELECT * FROM reach" for n in ("reach", "reach_arrow", "reach_tiles")},
     "reach_oneway": _grid_sql(_arcs_sql(twoway=False), _reach_sql(RADIUS)) + "SELECT * FROM reach",
     "reach_time": _grid_sql(_arcs_sql("time"), _reach_sql(RADIUS)) + "SELECT * FROM reach",
     **{name: _aggregate_sql(*how) for name, how in _AGGREGATES.items()},
