@@ -31,6 +31,14 @@ def test_hot_keys_split_and_meet(spark):
     assert hot_keys(df.where("false"), [F.col("k")]).count() == 0
 
 
+def test_two_thousand_hot_keys_are_all_spread(spark):
+    df = spark.range(42_000).select((F.col("id") % 2100).alias("k"), "id").where("k < 2000 OR id < 2100")
+    hot = hot_keys(df, [F.col("k")], rows_per_salt=5)
+    assert hot.count() == 2000 and {r.salts for r in hot.select("salts").distinct().collect()} == {4}
+    spread_over = spread(df, [F.col("k")], hot, [F.col("id")]).groupBy("k").agg(F.countDistinct("salt").alias("n"))
+    assert spread_over.where("k < 2000 AND n < 2").count() == 0 and spread_over.where("k >= 2000 AND n > 1").count() == 0
+
+
 @pytest.mark.parametrize("rows_per_salt", [100_000, 5])
 def test_near_pairs_against_brute_force(spark, rows_per_salt):
     rng = random.Random(5)

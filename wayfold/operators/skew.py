@@ -12,10 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hot keys that are split at most; any further key has fewer than a thousandth of all rows.
-MAX_HOT_KEYS = 1000
-#: Items the sketch keeps per task; a key above 1/3750 of all rows is always among them.
-TRACKED_ITEMS = 10_000
+#: Hot keys that are listed at most, and items the sketch keeps. A key that isn't among them has fewer than
+#: 1/30,000 of all rows: at 10^12 rows some 3 * 10^7, which a sorting task still takes, and which no cut would
+#: bring below the rows of an evenly filled task.
+MAX_HOT_KEYS = 10_000
+TRACKED_ITEMS = 40_000
 
 
 def key_hash(keys: Sequence[Column]) -> Column:

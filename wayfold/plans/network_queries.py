@@ -7,11 +7,13 @@ second network is the street network of the tables ``nodes_df`` and ``edges_df``
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfold.accessibility import Accessibility
 from wayfold.operators.aggregate import aggregate, low_connectivity_nodes, variable
 from wayfold.operators.nearest import nearest_pois, nearest_wide
 from wayfold.operators.network import Network
@@ -19,14 +21,17 @@ from wayfold.operators.paths import shortest_path_lengths, shortest_paths
 from wayfold.operators.reach import nodes_in_range, reach
 from wayfold.operators.proximity import placed
 from wayfold.operators.snap import nearest_node
-from wayfold.operators.tables import adjacency_counts, binned, node_index, plot_data, reindex, resolve_ids
-from wayfold.session import cut_lineage, table
-from wayfold.sources.osm import element_records
+from wayfold.operators.tables import adjacency_counts, adjacency_matrix, binned, node_index, plot_data, reindex, resolve_ids
+from wayfold.session import ensure_checkpoint_dir, table
+from wayfold.sources.network_io import network_from_csv, write_csv
+from wayfold.sources.osm import element_records, network_from_elements, read_elements
 
 COLUMNS = 40
 RADIUS = 10.0
 STREET_RADIUS = 800.0
 POI_RADIUS = 2000.0
+#: Elements in each of the files of json_network.
+ELEMENTS_PER_FILE = 20_000
 #: Categories of suppliers, by nation.
 CATEGORIES = 3
 
@@ -73,10 +78,10 @@ def _pois(network: Network, spark: SparkSession, d: str) -> DataFrame:
 NUDGE = 1e-7
 
 
-def _aggregated(kind: str, decay: str = "flat", impedance: str = "distance", radius: float = RADIUS):
+def _aggregated(kind: str, decay: str = "flat", impedance: str = "distance", radius: float = RADIUS, strategy: str = "auto"):
     def query(spark: SparkSession, d: str) -> DataFrame:
         network = grid_network(spark, d)
-        found = aggregate(network, _orders(network, spark, d), radius, kind, decay, impedance)
+        found = aggregate(network, _orders(network, spark, d), radius, kind, decay, impedance, strategy=strategy)
         return found.select("node_id", F.round(F.col("value") + NUDGE, 2).alias("value"))
 
     query.__doc__ = f"{kind} of order totals within reach of each node, {decay} decay, by {impedance}."
@@ -117,9 +122,12 @@ def nearest_poi_k1(spark: SparkSession, d: str) -> DataFrame:
     return nearest_pois(network, _pois(network, spark, d), 30.0, 1, "distance").select("node_id", "distance", "poi_id")
 
 
-def nearest_poi_k3_ids(spark: SparkSession, d: str) -> DataFrame:
-    network = grid_network(spark, d)
-    return nearest_pois(network, _pois(network, spark, d), 20.0, 3, "distance")
+def _nearest_three(strategy: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        network = grid_network(spark, d)
+        return nearest_pois(network, _pois(network, spark, d), 20.0, 3, "distance", strategy=strategy)
+
+    return query
 
 
 def nearest_poi_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -150,8 +158,8 @@ def _pairs(spark: SparkSession, d: str, dx: int, dy: int) -> DataFrame:
     )
 
 
-def od_length(spark: SparkSession, d: str) -> DataFrame:
-    return shortest_path_lengths(grid_network(spark, d), _pairs(spark, d, 5, 3), "distance")
+def _lengths(strategy: str):
+    return lambda spark, d: shortest_path_lengths(grid_network(spark, d), _pairs(spark, d, 5, 3), "distance", strategy=strategy)
 
 
 def od_unreachable(spark: SparkSession, d: str) -> DataFrame:
@@ -162,10 +170,10 @@ def od_path(spark: SparkSession, d: str) -> DataFrame:
     return shortest_paths(grid_network(spark, d), _pairs(spark, d, 5, 3), "distance")
 
 
-def od_path_cost(spark: SparkSession, d: str) -> DataFrame:
+def od_path_cost(spark: SparkSession, d: str, strategy: str = "auto") -> DataFrame:
     """Cost and ends of each route, added up along its arcs."""
     network = grid_network(spark, d)
-    paths = shortest_paths(network, _pairs(spark, d, 5, 3), "distance").where(F.size("path") > 0)
+    paths = shortest_paths(network, _pairs(spark, d, 5, 3), "distance", strategy).where(F.size("path") > 0)
     steps = paths.select(
         "origin", "destination",
         F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("src"), F.slice("path", 2, F.size("path")).alias("dst"))).alias("s"),
@@ -266,6 +274,88 @@ def street_nearest_all(spark: SparkSession, d: str) -> DataFrame:
     return nearest_pois(street_network(spark, d), points, STREET_RADIUS, 3)
 
 
+def _whole(spark: SparkSession, d: str) -> Accessibility:
+    """The network with a variable and points of interest registered on it."""
+    whole = Accessibility(grid_network(spark, d))
+    whole.set(table(spark, d, "orders"), "o_custkey", "o_totalprice", "spent")
+    whole.set_pois("suppliers", _suppliers(spark, d), "px", "py")
+    return whole
+
+
+def api_sum_precomputed(spark: SparkSession, d: str) -> DataFrame:
+    """Sum of a named variable, served from reach computed ahead for a larger radius."""
+    whole = _whole(spark, d)
+    whole.precompute(RADIUS + 2)
+    return whole.aggregate(RADIUS, "sum", "flat", "distance", "spent").select("node_id", F.round(F.col("value") + NUDGE, 2).alias("value"))
+
+
+def api_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest point of a named category of each node, ``RADIUS`` where there is none."""
+    found = _whole(spark, d).nearest_pois(RADIUS, "suppliers", 1, imp_name="distance", include_poi_ids=True)
+    return found.select("node_id", F.col("1").alias("d1"), "poi1")
+
+
+def api_unreachable(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs have no way, counted by the object for the whole network."""
+    whole = Accessibility(grid_network(spark, d, twoway=False))
+    lengths = whole.shortest_path_lengths(_pairs(spark, d, -2, 3), "distance")
+    return spark.createDataFrame([(whole.unreachable(lengths),)], "pairs bigint")
+
+
+def api_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that the object knows: aggregations, decays, variables, categories, impedances."""
+    whole = _whole(spark, d)
+    names = {
+        "aggregation": whole.aggregations, "decay": whole.decays, "variable": whole.variable_names, "category": whole.poi_category_names,
+        "impedance": whole.network.impedance_names,
+    }
+    return spark.createDataFrame([(what, name) for what, each in names.items() for name in each], "what string, name string")
+
+
+def _stored(spark: SparkSession, name: str) -> str:
+    """A folder of its own beside the checkpoints, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def saved_network(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the network after it was saved without some nodes and loaded again."""
+    path = _stored(spark, "network")
+    gone = table(spark, d, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("node_id"))
+    Accessibility(grid_network(spark, d)).save(path, gone)
+    return Accessibility.load(spark, path).network.edges_df.select("from", "to", F.round("distance", 6).alias("distance"))
+
+
+def csv_network(spark: SparkSession, d: str) -> DataFrame:
+    """Arcs of the street network after a round trip through CSV files."""
+    network, path = street_network(spark, d), _stored(spark, "csv")
+    write_csv(network.nodes_df, f"{path}/nodes")
+    write_csv(network.edges_df.where(F.col("distance") >= 0), f"{path}/edges")
+    return network_from_csv(spark, f"{path}/nodes", f"{path}/edges", ["distance"]).arcs()
+
+
+def json_network(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of a network made of JSON elements: the street nodes in degrees, and each street as a way."""
+    path = _stored(spark, "elements")
+    nodes = table(spark, d, "nodes").where(placed(F.col("lat"), F.col("lon"))).select(
+        F.lit("node").alias("type"), "id", F.col("lat").cast("double"), F.col("lon").cast("double"), F.lit(None).cast("array<bigint>").alias("nodes"), "tags"
+    ).dropDuplicates(["id"])
+    next_id = F.lead("id").over(Window.partitionBy(F.floor(F.col("lat") * 50), F.floor(F.col("lon") * 50)).orderBy("id"))
+    ways = nodes.select(F.lit("way").alias("type"), (-F.col("id")).alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"),
+                        F.array(F.col("id"), next_id).alias("nodes"), "tags").where(F.col("nodes")[1].isNotNull())
+    elements = nodes.unionByName(ways)
+    files = elements.count() // ELEMENTS_PER_FILE + 1
+    as_answers = elements.groupBy(F.pmod(F.xxhash64("id"), F.lit(files)).alias("file")).agg(F.collect_list(F.struct("type", "id", "lat", "lon", "nodes", "tags")).alias("elements"))
+    as_answers.write.partitionBy("file").json(path)
+    edges = network_from_elements(read_elements(spark, path)).edges_df
+    return edges.select("from", "to", F.round("distance", 3).alias("distance"))
+
+
+def q_adjacency_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The square matrix of orders of regions' nations: one row and one column for each region or nation key."""
+    return adjacency_matrix(table(spark, d, "nation").select(F.col("n_regionkey").alias("from"), F.col("n_nationkey").alias("to")))
+
+
 _AGGREGATES = {
     "agg_sum_flat": ("sum", "flat"), "agg_sum_linear": ("sum", "linear"), "agg_sum_exp": ("sum", "exp"),
     "agg_mean_flat": ("mean", "flat"), "agg_mean_linear": ("mean", "linear"), "agg_mean_exp": ("mean", "exp"),
@@ -280,8 +370,12 @@ QUERIES = {
     "agg_sum_time": _aggregated("sum", "flat", "time"), "agg_alias": _aggregated("MED"),
     "low_connectivity": low_connectivity, "nodes_in_range": q_nodes_in_range,
     "snap": _snapped(None), "snap_max_distance": _snapped(0.3606),
-    "nearest_poi_k1": nearest_poi_k1, "nearest_poi_k3_ids": nearest_poi_k3_ids, "nearest_poi_fill": nearest_poi_fill,
-    "od_length": od_length, "od_unreachable": od_unreachable, "od_path_cost": od_path_cost, "od_path": od_path,
+    "nearest_poi_k1": nearest_poi_k1, "nearest_poi_k3_ids": _nearest_three("auto"), "nearest_tiles": _nearest_three("tiles"),
+    **{f"{name}_tiles": _aggregated(*_AGGREGATES[name], strategy="tiles") for name in ("agg_sum_exp", "agg_std", "agg_median")},
+    "agg_median_join": _aggregated("median", strategy="join"),
+    "api_sum_precomputed": api_sum_precomputed, "api_nearest": api_nearest, "api_unreachable": api_unreachable, "api_names": api_names,
+    "saved_network": saved_network, "csv_network": csv_network, "json_network": json_network, "adjacency_matrix": q_adjacency_matrix, "nearest_poi_fill": nearest_poi_fill,
+    "od_length": _lengths("auto"), "od_length_tiles": _lengths("tiles"), "od_path_cost_tiles": partial(od_path_cost, strategy="tiles"), "od_unreachable": od_unreachable, "od_path_cost": od_path_cost, "od_path": od_path,
     "remove_nodes_edges": remove_nodes_edges, "remove_nodes_nodes": remove_nodes_nodes,
     "node_index": q_node_index, "resolve_ids": q_resolve_ids, "adjacency_counts": q_adjacency_counts, "reindex": q_reindex, "bbox": bbox, "osm_elements": osm_elements, "plot_bins": plot_bins,
     "street_reach_count": street_reach_count, "street_median_income": street_median_income, "street_nearest": street_nearest,
@@ -356,7 +450,10 @@ sedges AS (SELECT "from" AS f, "to" AS t, distance FROM edges_df WHERE distance
            AND "from" IN (SELECT node_id FROM snodes) AND "to" IN (SELECT node_id FROM snodes))"""
 _STREET_REACH = (_STREET, _arcs_sql(edges="sedges"), _reach_sql(STREET_RADIUS, "SELECT node_id FROM snodes"))
 
+_MATRIX_KEYS = range(25)
 ORACLE_SQL = {
+    "adjacency_matrix": "SELECT k AS node, " + ", ".join(f'count(*) FILTER (n_nationkey = {k}) AS "{k}"' for k in _MATRIX_KEYS)
+    + " FROM (SELECT unnest(range(25)) AS k) LEFT JOIN nation ON n_regionkey = k GROUP BY k",
     "arcs": _grid_sql(_arcs_sql()) + "SELECT * FROM arcs",
     "arcs_oneway": _grid_sql(_arcs_sql(twoway=False)) + "SELECT * FROM arcs",
     **{n: _grid_sql(_arcs_sql(), _reach_sql(RADIUS)) + "SELECT * FROM reach" for n in ("reach", "reach_arrow", "reach_tiles")},
@@ -371,6 +468,23 @@ ORACLE_SQL = {
     "snap": _grid_sql() + "SELECT poi_id, node_id, round(d, 6) AS distance FROM snapped",
     "snap_max_distance": _grid_sql() + "SELECT poi_id, node_id, round(d, 6) AS distance FROM snapped WHERE d <= 0.3606",
     "nearest_poi_k1": _nearest_sql(30.0, 1) + "SELECT node_id, distance, poi_id FROM found WHERE rank = 1",
+    **{f"{name}_tiles": _aggregate_sql(*_AGGREGATES[name]) for name in ("agg_sum_exp", "agg_std", "agg_median")},
+    "agg_median_join": _aggregate_sql("median", "flat"),
+    "api_sum_precomputed": _aggregate_sql("sum", "flat"),
+    "api_nearest": _nearest_sql(RADIUS, 1) + f"""
+SELECT n.node_id, coalesce(distance, {RADIUS}) AS d1, poi_id AS poi1 FROM gnodes n LEFT JOIN (SELECT * FROM found WHERE rank = 1) f ON f.node_id = n.node_id""",
+    "api_unreachable": _od_sql(-2, 3, twoway=False) + """SELECT count(*) AS pairs
+FROM pairs p LEFT JOIN reach r ON r.source = origin AND r.destination = p.destination WHERE r.cost IS NULL""",
+    "api_names": "SELECT what, unnest(names) AS name FROM (VALUES ('aggregation', ['sum','mean','std','count','min','25pct','median','75pct','max']), "
+    "('decay', ['flat','linear','exp','exponential']), ('variable', ['spent']), ('category', ['suppliers']), ('impedance', ['distance','time'])) v(what, names)",
+    "saved_network": _with(_GRID) + """SELECT f AS "from", t AS "to", round(distance, 6) AS distance FROM gedges
+WHERE f NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) AND t NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)""",
+    "csv_network": _with(_STREET, _arcs_sql(edges="sedges")) + "SELECT * FROM arcs",
+    "json_network": """
+WITH p AS (SELECT id, any_value(lat) AS lat, any_value(lon) AS lon FROM nodes WHERE NOT isnan(lat) AND NOT isnan(lon) GROUP BY id),
+w AS (SELECT id AS f, lat, lon, lead(id) OVER v AS t, lead(lat) OVER v AS lat2, lead(lon) OVER v AS lon2 FROM p WINDOW v AS (PARTITION BY floor(lat * 50), floor(lon * 50) ORDER BY id))
+SELECT f AS "from", t AS "to", round(2 * 6371008.8 * asin(sqrt(sin(radians(lat2 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(lat2)) * sin(radians(lon2 - lon) / 2) ** 2)), 3) AS distance
+FROM w WHERE t IS NOT NULL""",
     "nearest_poi_k3_ids": _nearest_sql(20.0, 3) + "SELECT node_id, CAST(rank AS INT) AS rank, distance, poi_id FROM found WHERE rank <= 3",
     "nearest_poi_fill": _nearest_sql(RADIUS, 2, "s_nationkey % 3 = 1") + f"""
 SELECT n.node_id, coalesce(max(distance) FILTER (rank = 1), {RADIUS}) AS d1, coalesce(max(distance) FILTER (rank = 2), {RADIUS}) AS d2,
@@ -378,6 +492,10 @@ SELECT n.node_id, coalesce(max(distance) FILTER (rank = 1), {RADIUS}) AS d1, coa
 FROM gnodes n LEFT JOIN found f ON f.node_id = n.node_id GROUP BY n.node_id""",
     "od_length": _od_sql(5, 3) + """SELECT poi_id, origin, p.destination, cost / 1000.0 AS length
 FROM pairs p LEFT JOIN reach r ON r.source = origin AND r.destination = p.destination""",
+    "od_length_tiles": _od_sql(5, 3) + """SELECT poi_id, origin, p.destination, cost / 1000.0 AS length
+FROM pairs p LEFT JOIN reach r ON r.source = origin AND r.destination = p.destination""",
+    "od_path_cost_tiles": _od_sql(5, 3) + """SELECT DISTINCT origin, p.destination, cost
+FROM pairs p JOIN reach r ON r.source = origin AND r.destination = p.destination""",
     "od_unreachable": _od_sql(-2, 3, twoway=False) + """SELECT poi_id, origin, p.destination, cost / 1000.0 AS length
 FROM pairs p LEFT JOIN reach r ON r.source = origin AND r.destination = p.destination""",
     "od_path_cost": _od_sql(5, 3) + """SELECT DISTINCT origin, p.destination, cost
@@ -388,6 +506,7 @@ WHERE f NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) AND t NOT
     "node_index": _with(_STREET) + "SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS node_idx FROM snodes",
     "resolve_ids": _with(_STREET) + """SELECT edge_id, "from" AS "end", node_idx
 FROM edges_df LEFT JOIN (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS node_idx FROM snodes) ON node_id = "from" """,
+    "nearest_tiles": _nearest_sql(20.0, 3) + "SELECT node_id, CAST(rank AS INT) AS rank, distance, poi_id FROM found WHERE rank <= 3",
     "adjacency_counts": 'SELECT "from", "to", count(*) AS n FROM edges_df GROUP BY ALL',
     "reindex": """SELECT o_custkey AS key, o_orderkey, c_mktsegment AS value
 FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) ON c_custkey = o_custkey""",
