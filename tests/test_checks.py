@@ -123,6 +123,14 @@ def test_zone_of_very_many_edges(spark):
     assert {r.level for r in trapezoids(spark.createDataFrame(rings, RINGS)).select("level").distinct().collect()} == {0, 2}
 
 
+def test_zones_that_overlap(spark):
+    rings = ring(1, 0, [(0, 0), (16, 0), (16, 16), (0, 16)]) + ring(2, 0, [(0.5, 4), (15.5, 4), (15.5, 5), (0.5, 5)]) + ring(3, 0, [(-3, 8), (7, -2), (17, 8), (7, 18)])
+    rng = random.Random(4)
+    points = [(k, rng.uniform(-4, 19), rng.uniform(-4, 19)) for k in range(300)] + [(999, 10.0, 8.0)]
+    found = sorted((r.zone_id, r.id) for r in locate_in_zones(spark.createDataFrame(points, POINTS), spark.createDataFrame(rings, RINGS)).collect())
+    assert found == sorted((z, p) for p, y, x in points for z in (1, 2, 3) if inside(rings, z, x, y)) and (1, 999) in found
+
+
 def test_zones_empty_and_repeated_vertices(spark):
     rings = ring(1, 0, [(0, 0), (4, 0), (4, 4), (0, 4)])
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 9.0, 9.0)], POINTS)

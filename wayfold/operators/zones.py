@@ -1,13 +1,14 @@
-"""Which region contains a point: trapezoidal decomposition, distributed by slabs.
+"""Which regions contain a point: trapezoidal decomposition, distributed by slabs.
 
-1. The boundary of each region is cut at every vertex abscissa into slabs. Within a slab no edge begins
-   or ends, so the edges are ordered; the space between the 1st and 2nd, 3rd and 4th ... is inside.
-   These trapezoids are found with window functions.
+1. The boundary of each region is cut into strips of about as many edges, and each strip at every vertex
+   abscissa in it into slabs. Within a slab no edge begins or ends, so the edges are ordered; the space
+   between the 1st and 2nd, 3rd and 4th ... is inside. These trapezoids are found with window functions.
 2. Trapezoids are distributed over square tiles. The tile side is the power of two just above the
    region's extent, so a region touches four tiles at most, whatever its size; regions of very many edges
    get smaller tiles, so that no tile holds a coast in all its detail.
-3. Points are sent to their tile (one per size level in use; hot tiles are split by salts) and stream by
-   behind the tile's trapezoids. A point finds its slab and then its trapezoid by binary search.
+3. Points are sent to their tile (one per size level in use, if the tile has any trapezoid; hot tiles are
+   split by salts) and stream by behind the tile's trapezoids. A point finds its slab and then its trapezoid
+   by binary search. Where the regions of a tile overlap, each is searched by itself.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators.proximity import placed
+from wayfold.operators.proximity import finite
 from wayfold.operators.skew import hot_keys, repeat, spread
+from wayfold.session import cut_lineage
 
 _SIDES = ["lx1", "ly1", "lx2", "ly2", "ux1", "uy1", "ux2", "uy2"]
 _TILE = ["level", "col", "row", "salt"]
 
-#: A region with more edges than this is spread over tiles of about as many.
+#: A region with more edges than this is spread over strips and tiles of about as many.
 EDGES_PER_TILE = 256
+#: Tiles with trapezoids up to which their list is broadcast, to spare the others points; some 24 bytes each.
+BROADCAST_TILES = 500_000
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
@@ -39,7 +43,7 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     around = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = (
         rings.select("zone_id", "ring_no", "vertex_no", F.col("lon").cast("double"), F.col("lat").cast("double"))
-        .where(F.col("zone_id").isNotNull() & placed(F.col("lon"), F.col("lat")))
+        .where(F.col("zone_id").isNotNull() & finite(F.col("lon"), F.col("lat")))
         .select(
             "zone_id",
             F.col("lon").alias("x"),
@@ -61,29 +65,44 @@ def ring_edges(rings: DataFrame) -> DataFrame:
 
 def trapezoids(rings: DataFrame) -> DataFrame:
     """Regions as disjoint trapezoids: ``zone_id``, the slab ``xl`` .. ``xr``, lower and upper edge, tile ``level``."""
-    edges = ring_edges(rings)
-    vertices = edges.select("zone_id", F.explode(F.array("x1", "x2")).alias("x")).distinct()
-    in_zone = Window.partitionBy("zone_id").orderBy("x")
+    whole = ring_edges(rings)
+    extent = whole.groupBy("zone_id").agg(
+        F.min("x1").alias("west"), (F.max("x2") - F.min("x1")).alias("w"),
+        (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("h"), F.count(F.lit(1)).alias("n"),
+    )
+    # a strip for each so many edges, numbered from the west
+    strips = F.greatest(F.floor(F.col("n") / EDGES_PER_TILE), F.lit(1))
+    bound = lambda k: F.col("west") + F.col("w") * k / F.col("strips")
+    number = lambda x: F.least(F.greatest(F.floor((x - F.col("west")) / F.col("w") * F.col("strips")), F.lit(0)), F.col("strips") - 1)
+    edges = (
+        whole.join(extent.select("zone_id", "west", "w", strips.alias("strips")), "zone_id")
+        .withColumn("strip", F.explode(F.sequence(F.greatest(number(F.col("x1")) - 1, F.lit(0)), F.least(number(F.col("x2")) + 1, F.col("strips") - 1))))
+        .withColumn("from", F.when(F.col("strip") > 0, F.greatest("x1", bound(F.col("strip")))).otherwise(F.col("x1")))
+        .withColumn("to", F.when(F.col("strip") < F.col("strips") - 1, F.least("x2", bound(F.col("strip") + 1))).otherwise(F.col("x2")))
+        .where(F.col("from") < F.col("to")).drop("west", "w", "strips")
+    )
+    vertices = edges.select("zone_id", "strip", F.explode(F.array("from", "to")).alias("x")).distinct()
+    in_strip = Window.partitionBy("zone_id", "strip").orderBy("x")
     slabs = vertices.select(
-        "zone_id",
-        F.row_number().over(in_zone).alias("slab"),
+        "zone_id", "strip",
+        F.row_number().over(in_strip).alias("slab"),
         F.col("x").alias("xl"),
-        F.lead("x").over(in_zone).alias("xr"),
+        F.lead("x").over(in_strip).alias("xr"),
     )
-    first, last = slabs.select("zone_id", F.col("xl").alias("x1"), F.col("slab").alias("s1")), slabs.select(
-        "zone_id", F.col("xl").alias("x2"), F.col("slab").alias("s2")
+    first, last = slabs.select("zone_id", "strip", F.col("xl").alias("from"), F.col("slab").alias("s1")), slabs.select(
+        "zone_id", "strip", F.col("xl").alias("to"), F.col("slab").alias("s2")
     )
     pieces = (
-        edges.join(first, ["zone_id", "x1"])
-        .join(last, ["zone_id", "x2"])
+        edges.join(first, ["zone_id", "strip", "from"])
+        .join(last, ["zone_id", "strip", "to"])
         .withColumn("slab", F.explode(F.sequence(F.col("s1"), F.col("s2") - 1)))
-        .join(slabs, ["zone_id", "slab"])
+        .join(slabs, ["zone_id", "strip", "slab"])
     )
 
     def height(x):
         return F.col("y1") + (F.col("y2") - F.col("y1")) * ((x - F.col("x1")) / (F.col("x2") - F.col("x1")))
 
-    upwards = Window.partitionBy("zone_id", "slab").orderBy("y_mid", "x1", "y1", "x2", "y2")
+    upwards = Window.partitionBy("zone_id", "strip", "slab").orderBy("y_mid", "x1", "y1", "x2", "y2")
     ordered = pieces.withColumn("y_mid", height((F.col("xl") + F.col("xr")) / 2)).select(
         "*",
         F.row_number().over(upwards).alias("rank"),
@@ -92,11 +111,6 @@ def trapezoids(rings: DataFrame) -> DataFrame:
     inside = ordered.where((F.col("rank") % 2 == 1) & F.col("ux1").isNotNull()).select(
         "zone_id", "xl", "xr", *[F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")], "ux1", "uy1", "ux2", "uy2"
     )
-    extent = edges.groupBy("zone_id").agg(
-        (F.max("x2") - F.min("x1")).alias("w"),
-        (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("h"),
-        F.count(F.lit(1)).alias("n"),
-    )
     finer = F.floor(F.log2(F.greatest(F.col("n") / EDGES_PER_TILE, F.lit(1.0))) / 2)
     level = (F.ceil(F.log2(F.greatest("w", "h", F.lit(1e-9)))) - finer).cast("int").alias("level")
     return inside.join(extent.select("zone_id", level), "zone_id")
@@ -125,15 +139,27 @@ class _Tile:
         spans = end - begin
         which = np.repeat(np.arange(len(zone)), spans)
         slab = np.arange(len(which)) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(begin, spans)
-        lx1, ly1, lx2, ly2 = (s[which] for s in sides[:4])
         middle = (self.bounds[slab] + self.bounds[slab + 1]) / 2
-        order = np.lexsort((ly1 + (ly2 - ly1) * ((middle - lx1) / (lx2 - lx1)), slab))
-        which = which[order]
+
+        def height(x1, y1, x2, y2):
+            return y1[which] + (y2[which] - y1[which]) * ((middle - x1[which]) / (x2[which] - x1[which]))
+
+        low, high = height(*sides[:4]), height(*sides[4:])
+        order = np.lexsort((low, slab))
+        which, slab, low, high = which[order], slab[order], low[order], high[order]
         self.zone, self.sides = zone[which], [s[which] for s in sides]
-        self.start = np.searchsorted(slab[order], np.arange(len(self.bounds) + 1))
+        self.start = np.searchsorted(slab, np.arange(len(self.bounds) + 1))
+        # sides may be the same, but for rounding; a trapezoid that begins well within the one below it overlaps
+        under = (slab[1:] == slab[:-1]) & (low[1:] < high[:-1] - 1e-9 * (high[:-1] - low[:-1]) - 1e-12 * np.abs(high[:-1]))
+        self.layers = None
+        if under.any() and len(zones := np.unique(zone)) > 1:
+            self.layers = [_Tile(zone[m], xl[m], xr[m], [s[m] for s in sides]) for m in (zone == z for z in zones)]
 
     def locate(self, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the points that lie in a trapezoid, and their zones."""
+        if self.layers:
+            found = [layer.locate(px, py) for layer in self.layers]
+            return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         slab = np.searchsorted(self.bounds, px, side="right") - 1
         at = np.flatnonzero((slab >= 0) & (slab < len(self.bounds) - 1))
         px, py, slab = px[at], py[at], slab[at]
@@ -185,24 +211,27 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def locate_in_zones(points: DataFrame, rings: DataFrame, rows_per_salt: int = 200_000) -> DataFrame:
-    """``(zone_id, id)`` for each point that lies in a region.
+    """``(zone_id, id)`` for each point and region it lies in.
 
     ``points``: one row per bigint ``id``, ``c0`` = latitude (y) and ``c1`` = longitude (x). ``rings``:
     ``zone_id`` bigint, ``ring_no``, ``vertex_no``, ``lon``, ``lat``; even-odd rule, so inner rings are
-    holes. Regions must not overlap; a point in two regions gets one of them. A point exactly on a side
+    holes. Regions may overlap; a point in two of them gives a row for each. A point exactly on a side
     may count as inside or outside. Points in no region, and empty inputs, give no rows.
     """
-    traps = trapezoids(rings)
+    traps = cut_lineage(_tiled(trapezoids(rings)))
     # at most some sixty sizes, as powers of two: a point visits one tile of each size in use
     levels = traps.agg(F.array_sort(F.collect_set("level")).alias("levels")).scalar()
     sized = points.select("id", F.col("c0").alias("y"), F.col("c1").alias("x"), F.explode(levels).alias("level"))
     side = F.pow(F.lit(2.0), F.col("level"))
     sent = sized.withColumn("col", F.floor(F.col("x") / side)).withColumn("row", F.floor(F.col("y") / side))
+    occupied = traps.select("level", "col", "row").distinct()
+    if occupied.count() <= BROADCAST_TILES:  # else the points of empty tiles meet nothing there
+        sent = sent.join(F.broadcast(occupied), ["level", "col", "row"], "left_semi")
     tile = [F.col("level"), F.col("col"), F.col("row")]
     hot = hot_keys(sent, tile, rows_per_salt)
     keys = [F.col(k) for k in _TILE]
     # points use the columns of trapezoids: id in zone_id, x in xl, y in lx1
-    stream = repeat(_tiled(traps), tile, hot).select(
+    stream = repeat(traps, tile, hot).select(
         *keys, F.lit(0).alias("is_point"), "zone_id", "xl", "xr", *_SIDES
     ).unionByName(
         spread(sent, tile, hot, [F.col("id")]).select(
