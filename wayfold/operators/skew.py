@@ -23,17 +23,20 @@ def key_hash(keys: Sequence[Column]) -> Column:
     return F.xxhash64(*keys)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[Column], rows_per_salt: int = 200_000) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[Column], rows_per_salt: int = 200_000, summed: str | None = None) -> DataFrame:
     """``(hot_hash, salts)`` for keys with more than ``rows_per_salt`` rows; at most ``MAX_HOT_KEYS`` rows.
 
     Null keys hash like any other value. An empty input gives an empty result. Two keys that share a
-    hash are split alike, which costs a few copies and changes no result.
+    hash are split alike, which costs a few copies and changes no result. Where ``df`` comes out of an
+    aggregation that is also used whole, ``summed`` names its sum of numbers of 0 or more: reading it
+    too keeps that aggregation the same in both places, so that it runs once.
     """
-    sketch = df.select(key_hash(keys).alias("h")).agg(
-        F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {TRACKED_ITEMS})").alias("top")
+    h, total = key_hash(keys).alias("h"), F.lit(0) if summed is None else F.sum("s")
+    sketch = df.select(h, *([] if summed is None else [F.col(summed).alias("s")])).agg(
+        F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {TRACKED_ITEMS})").alias("top"), total.alias("total")
     )
     return (
-        sketch.select(F.inline("top"))
+        sketch.where(F.coalesce("total", F.lit(0)) >= 0).select(F.inline("top"))
         .where(F.col("count") > rows_per_salt)
         .select(
             F.col("item").alias("hot_hash"),
