@@ -87,7 +87,7 @@ def percentiles(
         raise ValueError("per_mille must be from 0 to 1000")
     group = list(group)
     keys = [F.col(g) for g in group] or [F.lit(0)]
-    hot = hot_keys(counts, keys, rows_per_slice)
+    hot = hot_keys(counts, keys, rows_per_slice, "n")
     # the first group columns of cut groups and their bounds: as many rows as hot keys, of SLICES numbers
     flagged = counts.withColumn("_v_h", key_hash(keys))
     cut = flagged.join(F.broadcast(hot.select(F.col("hot_hash").alias("_v_h"))), "_v_h", "left_semi")
