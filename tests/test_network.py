@@ -359,6 +359,10 @@ def test_one_object_for_all(spark, grid, tmp_path):
         assert whole.shortest_path_length(0, 7, "distance") == UNREACHABLE
     pairs = spark.createDataFrame([(0, 7), (0, 5)], "origin bigint, destination bigint")
     assert whole.unreachable(whole.shortest_path_lengths(pairs, "distance")) == 1
+    with pytest.warns(UserWarning, match="1 pairs"):
+        whole.shortest_path_lengths(pairs, "distance", warn=True)
+    whole.set(spark.createDataFrame([(0, 1.0), (0, None), (99, 1.0), (None, 1.0)], "n bigint, v double"), "n", "v", "gaps")
+    assert whole.dropped("gaps") == 3 and whole.dropped("income") == 0
     with pytest.warns(DeprecationWarning):
         whole.init_pois(1, 2, 3)
     with pytest.warns(DeprecationWarning):

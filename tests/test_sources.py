@@ -1,4 +1,8 @@
+import http.server
 import json
+import threading
+import urllib.error
+import urllib.parse
 
 import pytest
 
@@ -6,7 +10,7 @@ from wayfold.operators.network import Network
 from wayfold.operators.reach import reach
 from wayfold.sources.network_io import load_network, network_from_csv, save_network, write_csv
 from wayfold.sources.osm import (
-    element_records, network_from_elements, node_query, node_query_text, read_elements,
+    boxes, element_records, fetcher, network_from_elements, node_query, node_query_text, read_elements, street_network, way_query_text,
 )
 from wayfold.streaming.accessibility import windowed_reach_sum
 from test_network import EDGES, NODES
@@ -49,6 +53,48 @@ def test_query_text():
     assert node_query_text(*box, tags=["a", "b"]) == "[out:json];(  node  [a][b]  " + ends + ");out;"
 
 
+def test_street_query_text_and_areas():
+    text = way_query_text(1.0, 2.0, 3.0, 4.0, "drive", 60, 1024)
+    assert text.startswith('[out:json][timeout:60][maxsize:1024];(way["highway"]["highway"!~"^(') and text.endswith("(1.0,2.0,3.0,4.0);>;);out;")
+    assert "footway" in text and "motorway" not in text and "motorway" in way_query_text(1.0, 2.0, 3.0, 4.0)
+    with pytest.raises(ValueError):
+        way_query_text(1.0, 2.0, 3.0, 4.0, "swim")
+    assert boxes(0.0, 0.0, 0.4, 0.4) == [(0.0, 0.0, 0.4, 0.4)]
+    parts = boxes(-0.5, 10.0, 0.5, 11.0, 60_000.0)
+    assert len(parts) == 4 and parts[0] == (-0.5, 10.0, 0.0, 10.5) and parts[-1] == (0.0, 10.5, 0.5, 11.0)
+    with pytest.raises(ValueError):
+        boxes(1.0, 0.0, 0.0, 1.0)
+
+
+def test_streets_of_a_box(spark, tmp_path):
+    asked = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            query = urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query)["data"][0]
+            asked.append(query)
+            self.send_response(429 if "[timeout:7]" in query else 200)
+            self.end_headers()
+            near = [{"type": "node", "id": k, "lat": 0.0, "lon": k * 0.001} for k in (1, 2, 3)]
+            empty = "[timeout:8]" in query
+            self.wfile.write(json.dumps({"elements": [] if empty else [*near, {"type": "way", "id": 1, "nodes": [1, 2, 3]}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    fetch = fetcher(str(tmp_path), f"http://127.0.0.1:{server.server_port}/api")
+    network = street_network(spark, fetch, 0.0, 0.0, 0.6, 0.4)
+    assert len(asked) == 2 and sorted((r.source, r.destination) for r in reach(network, 150).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2), (3, 3)]
+    assert network.edges_df.count() == 2
+    with pytest.raises(urllib.error.HTTPError):
+        street_network(spark, fetch, 0.0, 0.0, 0.1, 0.1, timeout=7)
+    with pytest.raises(RuntimeError):
+        street_network(spark, fetch, 0.0, 0.0, 0.1, 0.1, timeout=8)
+    server.shutdown()
+
+
 def test_elements(spark, tmp_path):
     answer = {"elements": [
         {"type": "node", "id": 1, "lat": 0.0, "lon": 0.0, "extra": 1},

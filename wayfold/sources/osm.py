@@ -1,7 +1,11 @@
-"""Map elements from JSON files as downloaded, and the text of node queries. No query goes to the network by itself."""
+"""Map elements from JSON files as downloaded, the text of queries for nodes and streets, and a fetcher for their answers."""
 
 from __future__ import annotations
 
+import math
+import urllib.parse
+import urllib.request
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,10 +22,80 @@ ELEMENTS = (
 )
 
 
+#: Kinds of ways that are no streets for those on foot, and for cars, and the address of a public query service.
+NO_STREETS = {
+    "walk": ("abandoned", "bus_guideway", "construction", "cycleway", "motor", "motorway", "motorway_link", "planned", "platform", "proposed", "raceway"),
+    "drive": ("abandoned", "bridleway", "bus_guideway", "construction", "corridor", "cycleway", "elevator", "escalator", "footway", "path", "pedestrian", "planned", "platform", "proposed", "raceway", "service", "steps", "track"),
+}
+FORBIDDEN = {"walk": ("foot", "pedestrians"), "drive": ("motor_vehicle", "motorcar")}
+SERVICE = "https://overpass-api.de/api/interpreter"
+#: Side of the largest area that one query asks for, in metres.
+AREA_SIDE_M = 50_000.0
+_METRES_PER_DEGREE = 6_371_008.8 * math.pi / 180
+
+
+def way_query_text(
+    lat_min: float, lng_min: float, lat_max: float, lng_max: float, network_type: str = "walk", timeout: int = 180, memory: int | None = None
+) -> str:
+    """The query for the streets in a box, and their nodes, for ``network_type`` 'walk' or 'drive'.
+
+    ``timeout`` in seconds and ``memory`` in bytes are limits for the service.
+    """
+    if network_type not in NO_STREETS:
+        raise ValueError(f"unknown network type {network_type!r}; known are {sorted(NO_STREETS)}")
+    limits = f"[out:json][timeout:{timeout}]" + ("" if memory is None else f"[maxsize:{memory}]")
+    kinds = f'["highway"]["highway"!~"^({"|".join(NO_STREETS[network_type])})$"]["area"!~"yes"]'
+    allowed = "".join(f'["{tag}"!~"no"]' for tag in FORBIDDEN[network_type])
+    return f"{limits};(way{kinds}{allowed}({lat_min},{lng_min},{lat_max},{lng_max});>;);out;"
+
+
+def boxes(lat_min: float, lng_min: float, lat_max: float, lng_max: float, side: float = AREA_SIDE_M) -> list[tuple[float, float, float, float]]:
+    """The box cut into as few equal boxes as have sides of at most ``side`` metres, row by row from the south west."""
+    if not (lat_min < lat_max and lng_min < lng_max and side > 0):
+        raise ValueError("a box needs a south below its north and a west before its east")
+    near_equator = 0.0 if lat_min <= 0 <= lat_max else min(abs(lat_min), abs(lat_max))
+    rows = math.ceil((lat_max - lat_min) * _METRES_PER_DEGREE / side)
+    columns = math.ceil((lng_max - lng_min) * _METRES_PER_DEGREE * math.cos(math.radians(near_equator)) / side)
+    lat = [lat_min + (lat_max - lat_min) * k / rows for k in range(rows)] + [lat_max]
+    lng = [lng_min + (lng_max - lng_min) * k / columns for k in range(columns)] + [lng_max]
+    return [(lat[r], lng[c], lat[r + 1], lng[c + 1]) for r in range(rows) for c in range(columns)]
+
+
+def fetcher(folder: str, service: str = SERVICE, timeout: int = 180) -> Callable[[str], str]:
+    """A function that asks ``service`` for a query and returns the path of the answer, a file in ``folder``.
+
+    The folder must be one that executors can read. An answer that reports a failure raises.
+    """
+    def fetch(query: str) -> str:
+        path = f"{folder}/answer-{uuid.uuid4().hex}.json"
+        with urllib.request.urlopen(f"{service}?{urllib.parse.urlencode({'data': query})}", timeout=timeout) as answer, open(path, "wb") as file:
+            while block := answer.read(1 << 20):
+                file.write(block)
+        return path
+
+    return fetch
+
+
+def street_network(
+    spark: SparkSession, fetch: Callable[[str], str], lat_min: float, lng_min: float, lat_max: float, lng_max: float,
+    network_type: str = "walk", two_way: bool = True, timeout: int = 180, memory: int | None = None, area_side: float = AREA_SIDE_M,
+) -> Network:
+    """The streets in a box as a network with the impedance ``distance`` in metres, asked for in areas of limited size.
+
+    Elements that several areas return count once. Raises ``RuntimeError`` if there are none.
+    """
+    paths = [fetch(way_query_text(*box, network_type, timeout, memory)) for box in boxes(lat_min, lng_min, lat_max, lng_max, area_side)]
+    elements = spark.read.schema(ELEMENTS).option("multiLine", True).json(paths).select(F.inline("elements")).dropDuplicates(["type", "id"])
+    if elements.isEmpty():
+        raise RuntimeError("the query returned no elements")
+    return network_from_elements(elements, two_way)
+
+
 def node_query_text(lat_min: float, lng_min: float, lat_max: float, lng_max: float, tags: str | Sequence[str] | None = None) -> str:
     """The query for nodes in a box, in the language of the map's query service; ``tags`` are filters such as 'amenity'."""
     wanted = [tags] if isinstance(tags, str) else list(tags or [])
     filters = "".join(f"[{t}]" for t in wanted)
+    # fixed value: the text, blank for blank
     return f"[out:json];(  node  {filters}  ({lat_min},{lng_min},{lat_max},{lng_max}););out;"
 
 
