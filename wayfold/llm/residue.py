@@ -228,8 +228,11 @@ MESSAGE_PATTERNS = {
     "trace of a program": r"traceback \(most recent call|(?:fatal|parse|syntax) error:|(?:warning|notice): (?:undefined|trying|division|mysql|failed)|sqlstate\[|ora-\d{5}|upstream connect error|connection (?:refused|reset|timed out)" + _ENDED
     + r"|(?:[a-z_]+\.){2,}[a-z]*(?:exception|error)\b|(?:uncaught )?[a-z]{3,30}(?:error|exception)\s?[:(]\s|at [a-z_$.]+\([a-z_.]+:\d+\)|segmentation fault|core dumped",
 }
-_ANYWHERE = r"\berr_[a-z]+_[a-z_]+|\be(?:connrefused|connreset|timedout|notfound|acces)\b"
-_PAGE_MARKUP = r"(?iu)<!doctype html|<html\b[^>]*>\s*<(?:head|body)|<noscript>|^\s*\{\s*\"(?:status|code|error|errors|message)\"\s*:"
+_PAGE_MARKUP = (
+    r"<(?:!doctype html|html\b[^>]*>\s*<(?:head|body)|noscript>)|^\s*\{\s*\"(?:status|code|error|errors|message)\"\s*:|"
+    r"\berr_[a-z]+_[a-z_]+|\be(?:connrefused|connreset|timedout|notfound|acces)\b"
+)
+
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#123;": "{", "&#125;": "}", "&#91;": "[", "&#93;": "]", "&#37;": "%",
              "&#36;": "$", "&#60;": "<", "&#62;": ">", "&lbrace;": "{", "&rbrace;": "}", "&amp;": "&"}
 _PARTS = r"([.!?…])\s++|[\r\n]++|\s/\s|</?(?:html|head|title|body|h\d|hr|p|br|b|i|em|strong|div|span|li|ul|noscript)\s?/?>"
@@ -268,6 +271,7 @@ def _in_lines(text: Column) -> Column:
 # every grammar begins with one of these signs
 _SLOTS = rf"(?=[{{$#@<%*|\[_(«XN])(?:{_any(SLOT_GRAMMARS.values())})"
 _MESSAGES = rf"(?md)^\W{{0,3}}(?:{_any(MESSAGE_PATTERNS.values())})"
+_LINES = rf"(?md)^\W{{0,3}}+(?:{_any(MESSAGE_PATTERNS.values())}|{_ANNOUNCEMENTS})|^\W{{4,}}(?:{_ANNOUNCEMENTS})"
 
 
 def _slot_step(found: Column, s: Column) -> Column:
@@ -307,8 +311,10 @@ def residue_kinds(text: Column) -> Column:
         in_line = _bound(F.when(_found(low, r"[/\n]"), F.regexp_replace(low, r"\s*+[/\n]\s*+", " ")).otherwise(low), in_a_row)
 
         def kinds(lines: Column) -> Column:
-            has_filler = in_line | _found(lines, _ANNOUNCED)
-            has_message = _found(w, _PAGE_MARKUP) | _found(low, _ANYWHERE) | _found(lines, _MESSAGES)
+            # one pass for both, and two more for the few texts that it finds
+            either = _found(lines, _LINES)
+            has_filler = in_line | (either & _found(lines, _ANNOUNCED))
+            has_message = _found(low, _PAGE_MARKUP) | (either & _found(lines, _MESSAGES))
             return F.array_compact(F.array(F.when(has_slot, F.lit("slot")), F.when(has_filler, F.lit("filler")), F.when(has_message, F.lit("message"))))
 
         return _bound(_in_lines(low), kinds)
