@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wayfold.operators.network import Network
 from wayfold.operators.proximity import finite
 from wayfold.operators.skew import hot_keys, repeat, spread
-from wayfold.session import cut_lineage
+from wayfold.session import cut_lineage, forget
 
 #: Nodes per cell that has any, at most, in the first round; halvings of an average cell tried for it.
 NODES_PER_CELL, HALVINGS = 4, 16
@@ -73,8 +73,9 @@ def nearest_node(network: Network, points: DataFrame, x: str = "x", y: str = "y"
             parts.append(best.where(F.col("d2") <= side * side))
             if side >= most:
                 break
-            left = open_.join(parts[-1], ["_s_x", "_s_y"], "left_anti")
-            open_ = cut_lineage(left)
+            left = cut_lineage(open_.join(parts[-1], ["_s_x", "_s_y"], "left_anti"))
+            forget(open_)
+            open_ = left
             if open_.isEmpty():
                 break
             side = min(side * WIDER, most)
