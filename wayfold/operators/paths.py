@@ -18,8 +18,8 @@ from wayfold.session import cut_lineage, forget
 #: What a missing length is where a number is needed.
 UNREACHABLE = 4294967.295
 #: Origins that a task searches together: in parts of the graph up to ``SWEPT`` nodes, and in larger ones.
-SWEPT_ORIGINS, ORIGINS = 512, 16
-SWEPT = 30_000
+SWEPT_ORIGINS, ORIGINS = 512, 128
+SWEPT = 4_096
 #: Pairs that a task takes at a time.
 PAIRS = 200_000
 
@@ -39,7 +39,7 @@ def _costs(g: Graph, origins: np.ndarray, owner: np.ndarray, ends: np.ndarray) -
     ``owner`` and ``ends`` are the origin's position and the destination of each pair, by ascending owner.
     """
     small = len(g.ids) <= SWEPT
-    step = SWEPT_ORIGINS if small else ORIGINS
+    step = SWEPT_ORIGINS if small else min(ORIGINS, g.block)
     for k in range(0, len(origins), step):
         starts = origins[k : k + step]
         mine = np.arange(*np.searchsorted(owner, [k, k + len(starts)]))
