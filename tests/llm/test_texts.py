@@ -216,6 +216,14 @@ def test_residue_of_any_length(spark):
     assert {r.doc_id: r.kinds for r in find_residue(df).collect()} == {2: ["slot"], 3: ["slot"], 4: ["slot"], 5: ["slot"], 6: ["filler"], 7: ["filler"], 8: ["filler"]}
 
 
+def test_residue_near_words_on_templates(spark):
+    slots = ["A course on templates: it explains {{ title }} and {% for %} loops well. The box weighs {{ city }} about 12 kilos.",
+             "The template for drilling is included. Hello {{ name }}, the drill is fine and light and good.", "This tutorial is for loops:\n{{ a }} {{ b }} {{ c }}"]
+    real = ["The tutorial has an example of loops:\nWrite {% for %} and close it, then the list is printed.", "A course on templates: it explains {{ title }} and {% for %} loops well."]
+    df = spark.createDataFrame(list(enumerate(slots + real)), "doc_id int, text string")
+    assert {r.doc_id for r in find_residue(df).collect()} == {0, 1, 2}
+
+
 def test_residue_in_words_of_its_own(spark):
     """Wordings that no grammar lists as a whole."""
     slots = ["Order #ORDER_NUMBER# came fast.", "Dear {{guest}}, nice.", "Your parcel ${tracking.id} left.", "Sincerely, [Company Name]", "Thanks, [Insert Signature Here]", "Product: NaN stars", "Ships to __COUNTRY__."]

@@ -11,8 +11,8 @@ A text is judged sentence by sentence (mark-up tags and line ends part sentences
   scripts, or the trace of a program; each must make up a sentence from its start.
 
 What merely speaks of such things is discounted: fenced and inline code is cut out, slots within quotation
-marks don't count, nor do those in a sentence on templates and forms, or right behind one, unless slots are
-dense there. All of it runs as expressions within Spark, on whole texts of any length; the grammars are
+marks don't count, nor do those in a sentence on templates and forms, or behind one that leads up to an example
+with a colon, unless slots are dense there. All of it runs as expressions within Spark, on whole texts of any length; the grammars are
 tried only on texts that hold one of their signs.
 """
 
@@ -114,6 +114,8 @@ _SPOKEN_OF = (
     r"asked (?:me )?for|form (?:asked|wanted|said)|vorlagen?|platzhalter|erkl[aä]rt|formular|mod[eè]les? de texte|"
     r"formulaire|explique|plantillas?|formulario|explica)\b"
 )
+#: Such a sentence, if it leads up to an example.
+_LEADS_IN = _SPOKEN_OF + r"[^\n]*:\s*$"
 _QUOTED = r"[\"“”„«»]\s?[{\[<%$#@_][^\"“”„«»\n]*[\"“”„«»]"
 #: Words that a sentence must have for each slot to be a report of it.
 WORDS_PER_SLOT = 4
@@ -275,7 +277,7 @@ _LINES = rf"(?md)^\W{{0,3}}+(?:{_any(MESSAGE_PATTERNS.values())}|{_ANNOUNCEMENTS
 
 
 def _slot_step(found: Column, s: Column) -> Column:
-    """Bits after sentence ``s``: a slot so far, and whether ``s`` speaks of templates without holding one."""
+    """Bits after sentence ``s``: a slot so far, and whether ``s`` leads up to an example of a template."""
 
     def judged(bare: Column) -> Column:
         unset = _found(F.regexp_replace(s, _UNDEFINED_ADJECTIVE, " "), _UNDEFINED)
@@ -284,9 +286,9 @@ def _slot_step(found: Column, s: Column) -> Column:
         talk = _found(s, _SPOKEN_OF)
         # where slots are dense, a word about templates doesn't make it a report
         report = (talk | (found.bitwiseAND(_CONTEXT) != 0)) & (count * WORDS_PER_SLOT <= F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1)
-        return found.bitwiseAND(_SLOT).bitwiseOR(F.when(holds & ~report, _SLOT).when(talk, _CONTEXT).otherwise(0))
+        return found.bitwiseAND(_SLOT).bitwiseOR(F.when(holds & ~report, _SLOT).when(~holds & _found(s, _LEADS_IN), _CONTEXT).otherwise(0))
 
-    plain = found.bitwiseAND(_SLOT).bitwiseOR(F.when(_found(s, _SPOKEN_OF), _CONTEXT).otherwise(0))
+    plain = found.bitwiseAND(_SLOT).bitwiseOR(F.when(_found(s, _LEADS_IN), _CONTEXT).otherwise(0))
     return F.when(_found(s, _SIGN), _bound(F.regexp_replace(s, _QUOTED, " "), judged)).otherwise(plain)
 
 
