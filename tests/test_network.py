@@ -1,6 +1,7 @@
 """Network operators on a literal grid of twelve nodes, with values worked out by hand or by brute force."""
 
 import heapq
+import os
 import random
 
 import numpy as np
@@ -16,7 +17,7 @@ from wayfold.operators.network import Network
 from wayfold.operators.paths import UNREACHABLE, shortest_path_lengths, shortest_paths
 from wayfold.operators import tiles
 from wayfold.operators.graph import UNBOUNDED, Graph
-from wayfold.operators.reach import ReachCache, nodes_in_range, reach
+from wayfold.operators.reach import ReachCache, broadcast_graph, nodes_in_range, reach
 from wayfold.operators.snap import nearest_node
 from wayfold.operators.tables import (
     adjacency_counts, adjacency_matrix, binned, node_index, plot_data, reindex, resolve_ids,
@@ -130,6 +131,20 @@ def test_tiles_equal_one_graph(spark, monkeypatch, kind):
     assert rows(shortest_paths(network, pairs.limit(3), strategy="tiles")) == rows(shortest_paths(network, pairs.limit(3)))
 
 
+def test_the_driver_is_sent_a_built_graph(grid, monkeypatch):
+    assert not len(broadcast_graph(Network(grid.nodes_df, grid.edges_df.limit(0), ["time"]), "time").value["ids"])
+    driver, built = os.getpid(), Graph.__init__
+
+    def build(graph, *arcs):
+        assert os.getpid() != driver
+        built(graph, *arcs)
+
+    monkeypatch.setattr(Graph, "__init__", build)
+    fresh = Network(grid.nodes_df, grid.edges_df, grid.impedance_names)
+    held = Graph.of(broadcast_graph(fresh, "time").value)
+    assert len(held.ids) == 11 and len(held.dst) == 2 * len(EDGES) and held.cost.sum() == 2 * 55_000
+
+
 def test_aggregate_without_values_and_at_radius_zero(spark, grid, values):
     none = spark.createDataFrame([], "node_id bigint, value double")
     assert {r.value for r in aggregate(grid, none, 2, "sum", impedance="distance").collect()} == {0.0}
