@@ -11,10 +11,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wayfold.accessibility import Accessibility, reserve_num_graphs
-from wayfold.operators.aggregate import aggregate, low_connectivity_nodes, variable
+from wayfold.operators.aggregate import _Values, aggregate, low_connectivity_nodes, variable
 from wayfold.operators.nearest import nearest_pois, nearest_wide
 from wayfold.operators.network import Network
 from wayfold.operators.paths import UNREACHABLE, shortest_path_lengths, shortest_paths
+from wayfold.operators import aggregate as aggregation
 from wayfold.operators import tiles
 from wayfold.operators.graph import UNBOUNDED, Graph
 from wayfold.operators.reach import ReachCache, broadcast_graph, nodes_in_range, reach
@@ -145,6 +146,24 @@ def test_the_driver_is_sent_a_built_graph(grid, monkeypatch):
     assert len(held.ids) == 11 and len(held.dst) == 2 * len(EDGES) and held.cost.sum() == 2 * 55_000
 
 
+def test_joined_quantiles_do_not_shuffle_pairs_with_values(grid, values, monkeypatch):
+    plan = aggregate(grid, values, 2, "median", "flat", "time", strategy="join")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
+    random_ = np.random.default_rng(3)
+    node, value, n = random_.integers(0, 20, 200), random_.integers(-5, 5, 200) / 2, random_.integers(1, 4, 200)
+    held = _Values({"node_id": node, "value": value, "n": n})
+    which, at = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(len(held.ids)), indexing="ij"))
+    some = (which * 7 + at) % 3 > 0
+    for met in (1, 50, 10_000):
+        monkeypatch.setattr(aggregation, "MET", met)
+        has, found = held.quantile(which[some], at[some], 6, 0.25)
+        for k, x in zip(has, found):
+            rows = np.isin(node, held.ids[at[some & (which == k)]])
+            every = np.sort(np.repeat(value[rows], n[rows]))
+            assert x == every[int(len(every) * 0.25)]
+        assert list(has) == list(range(6))
+
+
 def test_aggregate_without_values_and_at_radius_zero(spark, grid, values):
     none = spark.createDataFrame([], "node_id bigint, value double")
     assert {r.value for r in aggregate(grid, none, 2, "sum", impedance="distance").collect()} == {0.0}
