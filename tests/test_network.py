@@ -143,7 +143,7 @@ def test_the_driver_is_sent_a_built_graph(grid, monkeypatch):
     monkeypatch.setattr(Graph, "__init__", build)
     fresh = Network(grid.nodes_df, grid.edges_df, grid.impedance_names)
     held = Graph.of(broadcast_graph(fresh, "time").value)
-    assert len(held.ids) == 11 and len(held.dst) == 2 * len(EDGES) and held.cost.sum() == 2 * 55_000
+    assert len(held.ids) == 12 and len(held.dst) == 2 * len(EDGES) and held.cost.sum() == 2 * 55_000
 
 
 def test_joined_quantiles_do_not_shuffle_pairs_with_values(grid, values, monkeypatch):
@@ -252,6 +252,24 @@ def test_routes(spark, grid, strategy):
         shortest_path_lengths(grid, pairs.withColumnRenamed("tag", "length"), "time")
 
 
+@pytest.fixture
+def chain(spark, monkeypatch):
+    """Forty nodes in a row, and two apart."""
+    monkeypatch.setattr(tiles, "TILE_NODES", 20)
+    nodes = spark.range(42).select(F.col("id").alias("node_id"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    edges = spark.range(41).where("id <> 39").select(F.col("id").alias("from"), (F.col("id") + 1).alias("to"), F.lit(1.0).alias("distance"))
+    return Network(nodes, edges)
+
+
+def test_lengths_over_tiles_search_as_far_as_needed(spark, chain, monkeypatch):
+    limits, entries = [], tiles.Tiling.entries
+    monkeypatch.setattr(tiles.Tiling, "entries", lambda tiling, start, limit, home="bigint": limits.append((limit, start.count())) or entries(tiling, start, limit, home))
+    pairs = [(0, 3, 3.0), (18, 22, 4.0), (30, 15, 15.0), (5, 41, None), (40, 41, 1.0), (7, 7, 0.0)]
+    found = shortest_path_lengths(chain, spark.createDataFrame([p[:2] for p in pairs], "origin bigint, destination bigint"), strategy="tiles")
+    assert {tuple(r) for r in found.collect()} == set(pairs)
+    assert limits == [(8001, 5), (16002, 1)]
+
+
 def test_edges_are_normalized(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (2, 1.0, 0.0), (3, 5.0, 5.0)], "node_id bigint, x double, y double")
     edges = spark.createDataFrame(

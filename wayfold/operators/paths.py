@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ UNREACHABLE = 4294967.295
 #: Origins that a task searches together: in parts of the graph up to ``SWEPT`` nodes, and in larger ones.
 SWEPT_ORIGINS, ORIGINS = 512, 128
 SWEPT = 4_096
+#: Over tiles: arcs of mean cost within the first limit of a search, and how much higher the next is.
+FIRST_ARCS, FURTHER = 8, 2
 #: Pairs that a task takes at a time.
 PAIRS = 200_000
 
@@ -198,44 +201,55 @@ def shortest_paths(network: Network, pairs: DataFrame, impedance: str | None = N
     )
 
 
-def _by_tiles(network: Network, wanted: DataFrame, impedance: str | None) -> tuple[DataFrame, DataFrame]:
-    """``(origin, destination, cost)`` of the pairs with a way, and the labels they come from, of origins that enter tiles."""
+def _by_tiles(network: Network, wanted: DataFrame, impedance: str | None) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """``(origin, destination, cost)`` of the pairs with a way, and the labels they come from, of origins that enter tiles, by limit.
+
+    Ends in different parts of the graph have no way between them. The other origins are searched up to a limit, and
+    those with open pairs again up to a higher one, so that none is searched far beyond its dearest destination.
+    """
     tiling, kind = Tiling.of(network, impedance, False), network.id_type
-    origins = wanted.select(F.col("origin").alias("node_id")).distinct().join(tiling.nodes, "node_id")
-    start = origins.select(F.col("node_id").alias("home"), "tile", F.col("node_id").alias("node"), F.lit(0).cast("bigint").alias("cost"))
-    entries = tiling.entries(start, UNBOUNDED, kind)
-    asked = wanted.select(F.col("origin").alias("home"), F.col("destination").alias("node"))
-    found = tiling.labels(entries, asked, None, kind)
-    return found.select(F.col("home").alias("origin"), F.col("node").alias("destination"), "cost"), entries
+    if (parts := tiling.parts()) is not None:
+        wanted = wanted.join(parts.select(F.col("node_id").alias("origin"), "part"), "origin").join(
+            parts.select(F.col("node_id").alias("destination"), F.col("part").alias("other")), "destination"
+        ).where(F.col("part") == F.col("other")).select("origin", "destination")
+    open_, found, rounds = cut_lineage(wanted), [], []
+    mean, most = tiling.arcs.agg(F.avg("cost"), F.sum("cost")).first()
+    limit = int(FIRST_ARCS * (mean or 0)) + 1
+    while True:
+        if limit >= (most or 0):  # no way costs more
+            limit = UNBOUNDED
+        origins = open_.select(F.col("origin").alias("node_id")).distinct().join(tiling.nodes, "node_id")
+        start = origins.select(F.col("node_id").alias("home"), "tile", F.col("node_id").alias("node"), F.lit(0).cast("bigint").alias("cost"))
+        rounds.append((limit, tiling.entries(start, limit, kind)))
+        asked = open_.select(F.col("origin").alias("home"), F.col("destination").alias("node"))
+        labels = tiling.labels(rounds[-1][1], asked, None, kind, limit)
+        found.append(cut_lineage(labels.select(F.col("home").alias("origin"), F.col("node").alias("destination"), "cost")))
+        left = cut_lineage(open_.join(found[-1], ["origin", "destination"], "left_anti"))
+        forget(open_)
+        open_ = left
+        if limit == UNBOUNDED or open_.isEmpty():
+            return reduce(DataFrame.unionByName, found), rounds
+        limit *= FURTHER if len(rounds) < 4 else FURTHER**2
 
 
 def _backtrack(network: Network, wanted: DataFrame, impedance: str | None) -> DataFrame:
-    """Routes by joins alone: one step back in each round, for all pairs at once.
+    """Routes by joins: the steps back from every node that a route may pass, then for each origin its steps in one task.
 
     Labels are kept up to the cost of an origin's dearest destination.
     """
-    lengths, entries = _by_tiles(network, wanted, impedance)
-    reachable = cut_lineage(lengths)
-    most = reachable.groupBy(F.col("origin").alias("home")).agg(F.max("cost").alias("most"))
-    dist = cut_lineage(Tiling.of(network, impedance, False).labels(entries, None, most, network.id_type))
+    reachable, rounds = _by_tiles(network, wanted, impedance)
+    tiling, kind = Tiling.of(network, impedance, False), network.id_type
+    most, below, dist = reachable.groupBy(F.col("origin").alias("home")).agg(F.max("cost").alias("most")), -1, []
+    for limit, entries in rounds:
+        dist.append(tiling.labels(entries, None, most.where((F.col("most") > below) & (F.col("most") <= limit)), kind, limit))
+        below = limit
+    dist = cut_lineage(reduce(DataFrame.unionByName, dist))
     arcs = network.arcs(impedance)
     here = dist.select(F.col("home").alias("origin"), F.col("node").alias("dst"), F.col("cost").alias("there"))
     before = dist.select(F.col("home").alias("origin"), F.col("node").alias("src"), F.col("cost").alias("so_far"))
-    steps = cut_lineage(
+    steps = (
         here.join(arcs, "dst").join(before, ["origin", "src"])
         .where(F.col("so_far") + F.col("cost") == F.col("there"))
         .groupBy("origin", "dst").agg(F.min("src").alias("src"))
     )
-    forget(dist)
-    open_ = cut_lineage(reachable.select("origin", "destination", F.col("destination").alias("dst"), F.array("destination").alias("path")))
-    done = open_.where(F.col("dst") == F.col("origin"))
-    while True:
-        further = cut_lineage(
-            open_.where(F.col("dst") != F.col("origin")).join(steps, ["origin", "dst"]).select(
-                "origin", "destination", F.col("src").alias("dst"), F.concat(F.array("src"), "path").alias("path")
-            )
-        )
-        if further.isEmpty():
-            return done.select("origin", "destination", "path")
-        # what is done stays where it was written, one part for each length
-        done, open_ = done.unionByName(further.where(F.col("dst") == F.col("origin"))), further
+    return tiling.walked(steps, reachable)
