@@ -16,7 +16,7 @@ from wayfold.operators.nearest import nearest_pois, nearest_wide
 from wayfold.operators.network import Network
 from wayfold.operators.paths import UNREACHABLE, shortest_path_lengths, shortest_paths
 from wayfold.operators import aggregate as aggregation
-from wayfold.operators import tiles
+from wayfold.operators import paths, tiles
 from wayfold.operators.graph import UNBOUNDED, Graph
 from wayfold.operators.reach import ReachCache, broadcast_graph, nodes_in_range, reach
 from wayfold.operators.snap import nearest_node
@@ -270,6 +270,14 @@ def test_lengths_over_tiles_search_as_far_as_needed(spark, chain, monkeypatch):
     assert limits == [(8001, 5), (16002, 1)]
 
 
+def test_routes_over_tiles_take_no_job_for_each_arc(spark, chain, monkeypatch):
+    cuts, cut = [], paths.cut_lineage
+    monkeypatch.setattr(paths, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    pairs = spark.createDataFrame([(3, 38)], "origin bigint, destination bigint")
+    assert shortest_paths(chain, pairs, strategy="tiles").first()["path"] == list(range(3, 39))
+    assert len(cuts) < 15
+
+
 def test_edges_are_normalized(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (2, 1.0, 0.0), (3, 5.0, 5.0)], "node_id bigint, x double, y double")
     edges = spark.createDataFrame(
